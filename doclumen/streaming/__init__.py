@@ -1,0 +1 @@
+"""Deliberately empty: every job in scope is a one-shot batch over tables."""
