@@ -1,9 +1,10 @@
-"""Regex matches of a text as an array of rows: groups, line number and tail.
+"""Regex matches of a text as an array of rows: line number, groups and tail.
 
-Each group is one ``regexp_extract_all`` pass.  The characters that follow a
-match come from a capturing look-ahead appended to the pattern, and line numbers
-from marking every match start and counting marks per line, so the cost stays
-linear in the text however many matches it holds.
+A text is searched once per pattern.  The search writes a mark in front of every
+match and behind it, and where the characters that follow a match are needed, a
+capturing look-ahead copies them in as well.  Everything else is read off the
+marked text with plain string functions, so the cost stays linear in the text
+however many matches it holds.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Two Unicode noncharacters: the first marks match starts, the second stands in
-# for the first should a text contain it.
-_MARK = "﷐"
-_STAND_IN = "﷑"
+# Unicode noncharacters, which no text should contain; if one does, the fourth
+# stands in for the other three.
+_START, _END, _TAIL_END, _STAND_IN = "﷐", "﷑", "﷒", "﷓"
 
 
 def pattern(text: str, flags: str = "") -> str:
@@ -22,24 +22,50 @@ def pattern(text: str, flags: str = "") -> str:
     return f"(?Ud{flags}){text}"
 
 
-def line_numbers(text: Column, regex: Column) -> Column:
-    """1-based line of the start of every match, in match order."""
-    marked = F.regexp_replace(
-        F.translate(text, _MARK, _STAND_IN), regex, F.lit(_MARK + "$0")
-    )
+def pattern_for(text: Column, regex: str | Column, flags: str = "") -> Column:
+    """The pattern to search ``text`` with.
 
-    def marks_on_line(line: Column, index: Column) -> Column:
-        marks = F.length(line) - F.length(F.translate(line, _MARK, ""))
+    On ASCII text the Unicode classes find the same and take several times as long,
+    so they are used only where there is something else in it.
+    """
+    regex = F.lit(regex) if isinstance(regex, str) else regex
+    is_ascii = F.octet_length(text) == F.length(text)
+    mode = F.when(is_ascii, F.lit(f"(?d{flags})")).otherwise(F.lit(f"(?Ud{flags})"))
+    return F.concat(mode, regex)
+
+
+def extract_all(text: Column, regex: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, pattern_for(text, regex), F.lit(group))
+
+
+def has_match(text: Column, regex: str | Column) -> Column:
+    return F.regexp_like(text, pattern_for(text, regex))
+
+
+def _without_marks(text: Column) -> Column:
+    marks = [_START, _END, _TAIL_END]
+    found = F.lit(False)
+    for mark in marks:
+        found = found | F.contains(text, F.lit(mark))
+    return F.when(found, F.translate(text, "".join(marks), _STAND_IN * 3)).otherwise(text)
+
+
+def _start_lines(marked: Column) -> Column:
+    """1-based line of every start mark."""
+
+    def on_line(line: Column, index: Column) -> Column:
+        marks = F.length(line) - F.length(F.replace(line, F.lit(_START), F.lit("")))
         return F.array_repeat(index + 1, marks)
 
-    return F.flatten(F.transform(F.split(marked, "\n", -1), marks_on_line))
+    return F.flatten(F.transform(F.split(marked, "\n", -1), on_line))
 
 
 def match_rows(
     text: Column,
-    regex: Column,
+    regex: str | Column,
     groups: int,
     tail: int = 0,
+    flags: str = "",
 ) -> Column:
     """``array<struct<...>>``, one element per non-overlapping match.
 
@@ -47,14 +73,35 @@ def match_rows(
     ``str(groups)`` the pattern's groups (all of them), and one more the
     following ``tail`` characters if asked for.
     """
-    fields = [line_numbers(text, regex)]
-    fields += [
-        F.regexp_extract_all(text, regex, F.lit(g)) for g in range(1, groups + 1)
-    ]
+    regex = F.lit(regex) if isinstance(regex, str) else regex
+    again = F.concat(F.lit(f"(?Ud{flags})"), regex)
+    search = pattern_for(text, regex, flags)
+    replacement = f"{_START}$0{_END}"
     if tail:
-        followed_by = F.concat(regex, F.lit(f"(?=([\\s\\S]{{0,{tail}}}))"))
-        fields.append(F.regexp_extract_all(text, followed_by, F.lit(groups + 1)))
-    return F.arrays_zip(*fields)
+        search = F.concat(search, F.lit(f"(?=([\\s\\S]{{0,{tail}}}))"))
+        replacement += f"${groups + 1}{_TAIL_END}"
+
+    def row(m: Column) -> Column:
+        match = F.substring_index(m["1"], _END, 1)
+        fields = [m["0"].alias("0")]
+        for g in range(1, groups + 1):
+            fields.append(F.call_function("regexp_extract", match, again, F.lit(g)).alias(str(g)))
+        if tail:
+            behind = F.substring_index(F.substring_index(m["1"], _TAIL_END, 1), _END, -1)
+            fields.append(behind.alias(str(groups + 1)))
+        return F.struct(*fields)
+
+    def rows(marked: Column) -> Column:
+        in_place = F.regexp_replace(marked, f"{_END}[^{_TAIL_END}]*{_TAIL_END}", _END) if tail else marked
+        pieces = F.split(marked, _START, -1)
+        matches = F.arrays_zip(_start_lines(in_place), F.slice(pieces, F.lit(2), F.size(pieces)))
+        return F.when(F.contains(marked, F.lit(_START)), F.transform(matches, row)).otherwise(none)
+
+    fields = ["`0`:int"] + [f"`{g}`:string" for g in range(1, groups + 1 + bool(tail))]
+    none = F.array().cast(f"array<struct<{','.join(fields)}>>")
+    # The one-element array makes the search run once for all its uses.
+    marked = F.regexp_replace(_without_marks(text), search, F.lit(replacement))
+    return F.get(F.transform(F.array(marked), rows), F.lit(0))
 
 
 def first_group(text: Column, regex: str, group: int = 1) -> Column:

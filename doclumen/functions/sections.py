@@ -7,26 +7,23 @@ from pyspark.sql import functions as F
 
 
 def sections(content: Column) -> Column:
-    """``array<struct<header, body>>`` of the parts that start with ``#``.
+    """``array<struct<header, body, has_body>>`` of the parts that start with ``#``.
 
     The text is cut before every line that starts with ``#``; what precedes the
     first is no section, nor is a header without a line of its own below it.
     """
-    pieces = F.split(content, r"(?md)(?=^#)", -1)
+    # With a newline added at the end, every piece ends its last line, so the last
+    # one needs no case of its own.
+    pieces = F.split(F.concat(content, F.lit("\n")), r"(?md)(?=^#)", -1)
 
-    def section(piece: Column, index: Column) -> Column:
+    def section(piece: Column) -> Column:
         header = F.substring_index(piece, "\n", 1)
-        below = F.substr(piece, F.length(header) + 2)
-        closed_by_header = index < F.size(pieces) - 1
-        exists = F.when(closed_by_header, below != "").otherwise(
-            F.contains(piece, F.lit("\n"))
-        )
-        body = F.when(
-            closed_by_header, F.substr(below, F.lit(1), F.length(below) - 1)
-        ).otherwise(below)
-        return F.when(
-            F.startswith(piece, F.lit("#")) & exists,
-            F.struct(header.alias("header"), body.alias("body")),
+        body = F.substr(piece, F.length(header) + 2)
+        return F.struct(
+            header.alias("header"),
+            F.substr(body, F.lit(1), F.length(body) - 1).alias("body"),
+            (body != "").alias("has_body"),
         )
 
-    return F.filter(F.transform(pieces, section), lambda s: s.isNotNull())
+    found = F.transform(F.filter(pieces, lambda p: F.startswith(p, F.lit("#"))), section)
+    return F.filter(found, lambda s: s["has_body"])

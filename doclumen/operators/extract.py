@@ -15,21 +15,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclumen import fixed_values as fv
-from doclumen.functions.matching import first_group, match_rows, pattern, strip_whitespace
+from doclumen.functions.matching import (
+    extract_all,
+    first_group,
+    has_match,
+    match_rows,
+    strip_whitespace,
+)
 from doclumen.functions.terms import kebab
 from doclumen.operators import skips
 
 Extractor = Callable[[Column, Column], tuple[Column, Column]]
 
-_ROW = (
-    "array<struct<extractor_rank:int,pos:int,kind:string,framework:string,name:string,"
-    "method:string,line:int,default:string,required:boolean>>"
-)
+_FIELDS = "framework:string,name:string,method:string,line:int,default:string,required:boolean"
+_UNRANKED = f"array<struct<{_FIELDS}>>"
+_RANKED = f"array<struct<extractor_rank:int,pos:int,kind:string,{_FIELDS}>>"
 
 
 def _matches(content: Column, regex: str, tail: int = 0, flags: str = "") -> Column:
     groups = re.compile(regex).groups
-    return match_rows(content, F.lit(pattern(regex, flags)), groups, tail)
+    return match_rows(content, regex, groups, tail, flags)
 
 
 def _row(
@@ -111,10 +116,10 @@ def typer_commands(path: Column, content: Column) -> tuple[Column, Column]:
         return _row(m["0"], name, "typer")
 
     def commands_of(app: Column) -> Column:
-        regex = F.concat(F.lit(pattern("@")), app, F.lit(fv.TYPER_COMMAND_AFTER_APP))
+        regex = F.concat(F.lit("@"), app, F.lit(fv.TYPER_COMMAND_AFTER_APP))
         return F.transform(match_rows(content, regex, 1, fv.TYPER_LOOKAHEAD), command)
 
-    apps = F.regexp_extract_all(content, F.lit(pattern(fv.TYPER_APP)), F.lit(1))
+    apps = extract_all(content, fv.TYPER_APP)
     return F.contains(content, F.lit("typer.Typer")), F.flatten(F.transform(apps, commands_of))
 
 
@@ -123,16 +128,14 @@ def fire_commands(path: Column, content: Column) -> tuple[Column, Column]:
 
     def commands_of(m: Column) -> Column:
         target = m["1"]
-        is_class = F.regexp_like(
+        is_class = has_match(
             content,
             F.concat(
-                F.lit(pattern(fv.FIRE_CLASS_BEFORE_TARGET)),
-                target,
-                F.lit(fv.FIRE_CLASS_AFTER_TARGET),
+                F.lit(fv.FIRE_CLASS_BEFORE_TARGET), target, F.lit(fv.FIRE_CLASS_AFTER_TARGET)
             ),
         )
         methods = F.filter(
-            F.regexp_extract_all(content, F.lit(pattern(fv.FIRE_METHOD)), F.lit(1)),
+            extract_all(content, fv.FIRE_METHOD),
             lambda method: ~F.startswith(method, F.lit("_")),
         )
         names = F.when(is_class, methods).otherwise(F.array(target))
@@ -147,7 +150,7 @@ def fastapi_endpoints(path: Column, content: Column) -> tuple[Column, Column]:
 
     def endpoints_of(verb: str) -> Column:
         regex = fv.FASTAPI_ROUTE_BEFORE_VERB + verb + fv.FASTAPI_ROUTE_AFTER_VERB
-        return F.transform(
+        rows = F.transform(
             _matches(content, regex, fv.ROUTE_LOOKAHEAD, flags="i"),
             lambda m: _row(
                 m["0"],
@@ -157,6 +160,10 @@ def fastapi_endpoints(path: Column, content: Column) -> tuple[Column, Column]:
                 default=m["1"],
             ),
         )
+        # Most files use one or two verbs; the others need no regex pass.
+        return F.when(F.contains(F.upper(content), F.lit(f".{verb.upper()}")), rows).otherwise(
+            F.array().cast(_UNRANKED)
+        )
 
     guard = F.contains(content, F.lit("@")) & (
         F.contains(content, F.lit("@app."))
@@ -170,7 +177,7 @@ def flask_endpoints(path: Column, content: Column) -> tuple[Column, Column]:
     """One row per listed method; GET where none is quoted."""
 
     def endpoints_of(m: Column) -> Column:
-        listed = F.regexp_extract_all(m["2"], F.lit(pattern(fv.QUOTED_WORD)), F.lit(1))
+        listed = extract_all(m["2"], fv.QUOTED_WORD)
         methods = F.when(F.size(listed) > 0, listed).otherwise(
             F.array(F.lit(fv.DEFAULT_FLASK_METHOD))
         )
@@ -227,9 +234,7 @@ def environ_options(path: Column, content: Column) -> tuple[Column, Column]:
 def _has_settings_class(content: Column) -> Column:
     # The class pattern itself contains the word BaseSettings, so this literal
     # test decides before the regex runs.
-    return F.contains(content, F.lit("BaseSettings")) & F.regexp_like(
-        content, F.lit(pattern(fv.SETTINGS_CLASS))
-    )
+    return F.contains(content, F.lit("BaseSettings")) & has_match(content, fv.SETTINGS_CLASS)
 
 
 def settings_field_options(path: Column, content: Column) -> tuple[Column, Column]:
@@ -315,7 +320,7 @@ def _extracted(kind: str, rank: int, extractor: Extractor, root_prefix: str) ->
         ),
     )
     wanted = ~_SKIPS[kind](path, root_prefix) & guard
-    return F.when(wanted, ranked).otherwise(F.array().cast(_ROW))
+    return F.when(wanted, ranked).otherwise(F.array().cast(_RANKED))
 
 
 def raw_features(
@@ -335,8 +340,12 @@ def raw_features(
         for rank, extractor in enumerate(EXTRACTORS[kind]):
             if only is None or extractor in only:
                 arrays.append(_extracted(kind, rank, extractor, root_prefix))
-    return files.where(skips.is_python(F.col("path"))).select(
-        "project", "path", F.inline(F.concat(*arrays))
+    # The outer form, as for the plain one the optimizer infers a filter on the
+    # array's size, which would run every extractor a second time.
+    return (
+        files.where(skips.is_python(F.col("path")))
+        .select("project", "path", F.inline_outer(F.concat(*arrays)))
+        .where(F.col("extractor_rank").isNotNull())
     )
 
 

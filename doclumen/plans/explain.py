@@ -73,8 +73,12 @@ def rank_sections(
     The ranked rows are few per keyword set; counted first, they are broadcast so
     that the documents are read in place rather than shuffled.
     """
-    split = docs.join(broadcast_if_small(ranked), ["project", "path"]).select(
-        "project", "keywords", "path", "doc_rank", F.inline(sections(F.col("content")))
+    # The outer form, as for the plain one the optimizer infers a filter on the
+    # array's size, which would split every document a second time.
+    split = (
+        docs.join(broadcast_if_small(ranked), ["project", "path"])
+        .select("project", "keywords", "path", "doc_rank", F.inline_outer(sections(F.col("content"))))
+        .where(F.col("header").isNotNull())
     )
     low = F.lower(F.concat("header", F.lit("\n"), "body"))
     # The one-element array evaluates the lower-case text once, not per keyword.

@@ -65,7 +65,7 @@ def reference_sections(text):
 )
 def test_sections(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(sections(F.col("t"))).collect()[0]
-    assert [tuple(s) for s in row[0]] == reference_sections(text)
+    assert [(s["header"], s["body"]) for s in row[0]] == reference_sections(text)
 
 
 DOCS = {

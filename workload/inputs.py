@@ -18,10 +18,21 @@ from pyspark.sql import DataFrame, SparkSession
 _TABLES = ["documents", "conversations", "benchmark", "labels"]
 
 
+def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table, spread over the cores where its files are too few for them.
+
+    A table with splits enough, as any large one has, is not shuffled.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    for table in _TABLES:
-        sql = sql.replace(f"<{table}>", f"parquet.`{sf_dir}/{table}.parquet`")
-    return spark.sql(sql.replace("<g>", ""))
+    used = {t: _table(spark, sf_dir, t) for t in _TABLES if f"<{t}>" in sql}
+    for table in used:
+        sql = sql.replace(f"<{table}>", f"{{{table}}}")
+    return spark.sql(sql.replace("<g>", ""), **used)
 
 
 def duck_sql(sql: str) -> str:
@@ -124,7 +135,7 @@ fire.Fire(a, b)
 @router.POST("/[w1]/[w2]")
 async def create_[w1]():
     pass
-@app.get("/[w3]/{id}")
+@app.get("/[w3]/<id>")
 def read_[w2]():
     pass
 @app.get("")
