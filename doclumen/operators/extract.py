@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -302,9 +304,8 @@ _SKIPS = {
 }
 
 
-def _extracted(kind: str, rank: int, extractor: Extractor, root_prefix: str) -> Column:
-    path, content = F.col("path"), F.col("content")
-    guard, rows = extractor(path, content)
+def _extracted(kind: str, rank: int, extractor: Extractor, skip: Column) -> Column:
+    guard, rows = extractor(F.col("path"), F.col("content"))
     ranked = F.transform(
         rows,
         lambda r, i: F.struct(
@@ -319,8 +320,27 @@ def _extracted(kind: str, rank: int, extractor: Extractor, root_prefix: str) ->
             r["required"].alias("required"),
         ),
     )
-    wanted = ~_SKIPS[kind](path, root_prefix) & guard
-    return F.when(wanted, ranked).otherwise(F.array().cast(_RANKED))
+    return F.when(~skip & guard, ranked).otherwise(F.array().cast(_RANKED))
+
+
+@cache
+def _extraction(
+    context: SparkContext,
+    kinds: tuple[str, ...],
+    only: tuple[Extractor, ...] | None,
+    root_prefix: str,
+) -> Column:
+    """All rows of a file.  Putting the expression together takes a few seconds of
+    driver time, so each is built once per Spark context."""
+    arrays = []
+    for kind in kinds:
+        skip = _SKIPS[kind](F.col("path"), root_prefix)
+        for rank, extractor in enumerate(EXTRACTORS[kind]):
+            if only is None or extractor in only:
+                arrays.append(_extracted(kind, rank, extractor, skip))
+    # The outer form, as for the plain one the optimizer infers a filter on the
+    # array's size, which would run every extractor a second time.
+    return F.inline_outer(F.concat(*arrays))
 
 
 def raw_features(
@@ -335,16 +355,10 @@ def raw_features(
     endpoint's path for endpoints.  Discovery order within a project is
     ``(path, extractor_rank, pos)``.
     """
-    arrays = []
-    for kind in kinds:
-        for rank, extractor in enumerate(EXTRACTORS[kind]):
-            if only is None or extractor in only:
-                arrays.append(_extracted(kind, rank, extractor, root_prefix))
-    # The outer form, as for the plain one the optimizer infers a filter on the
-    # array's size, which would run every extractor a second time.
+    rows = _extraction(files.sparkSession.sparkContext, kinds, only, root_prefix)
     return (
         files.where(skips.is_python(F.col("path")))
-        .select("project", "path", F.inline_outer(F.concat(*arrays)))
+        .select("project", "path", rows)
         .where(F.col("extractor_rank").isNotNull())
     )
 

@@ -6,6 +6,8 @@ in front, for results equal to a scan that tested absolute paths.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,7 @@ from doclumen import fixed_values as fv
 
 
 def _contains_any(path: Column, fragments: list[str]) -> Column:
-    test = F.lit(False)
-    for fragment in fragments:
-        test = test | F.contains(path, F.lit(fragment))
-    return test
+    return path.rlike("|".join(re.escape(fragment) for fragment in fragments))
 
 
 def _full(path: Column, root_prefix: str) -> Column:

@@ -14,32 +14,32 @@ def package_dirs(files: DataFrame) -> DataFrame:
 
     1. a package directly below ``src/``; 2. the package named like the project in
     ``pyproject.toml``; 3. any other package at the root.  Ties go to the first
-    name.  The choice is an aggregate, so a project of any size combines early.
+    name.  Only ``pyproject.toml`` is opened; the rest is read off the paths.  Both
+    steps are aggregates, so a project of any size combines before its shuffle.
     """
-    inits = files.where(F.col("path").rlike(r"^(?:src/)?[^/]+/__init__\.py$")).select(
-        "project", F.regexp_replace("path", r"/__init__\.py$", "").alias("package_dir")
+    path, package = F.col("path"), F.col("package_dir")
+    inits = files.where(path.rlike(r"^(?:src/)?[^/]+/__init__\.py$")).select(
+        "project",
+        F.regexp_replace(path, r"/__init__\.py$", "").alias("package_dir"),
+        F.lit(False).alias("named"),
     )
-    named = (
-        files.where(F.col("path") == "pyproject.toml")
-        .select(
-            "project",
-            F.translate(first_group(F.col("content"), fv.PROJECT_NAME), "-", "_").alias(
-                "package_dir"
-            ),
-        )
-        .join(inits, ["project", "package_dir"], "left_semi")
-        .withColumn("preference", F.lit(2))
+    named = files.where(path == "pyproject.toml").select(
+        "project",
+        F.translate(first_group(F.col("content"), fv.PROJECT_NAME), "-", "_").alias("package_dir"),
+        F.lit(True).alias("named"),
     )
-    in_src = inits.where(F.startswith("package_dir", F.lit("src/"))).withColumn(
-        "preference", F.lit(1)
+    preference = (
+        F.when(F.startswith(package, F.lit("src/")) , 1)
+        .when(F.col("named"), 2)
+        .when(~package.isin(fv.NON_PACKAGE_DIRS), 3)
     )
-    at_root = inits.where(
-        ~F.contains("package_dir", F.lit("/"))
-        & ~F.col("package_dir").isin(fv.NON_PACKAGE_DIRS)
-    ).withColumn("preference", F.lit(3))
     return (
-        in_src.unionByName(named)
-        .unionByName(at_root)
+        inits.unionByName(named)
+        .groupBy("project", "package_dir")
+        .agg(F.bool_or("named").alias("named"), F.bool_or(~F.col("named")).alias("exists"))
+        .where("exists")
+        .select("project", "package_dir", preference.alias("preference"))
+        .where(F.col("preference").isNotNull())
         .groupBy("project")
         .agg(F.min(F.struct("preference", "package_dir")).alias("best"))
         .select("project", "best.package_dir", "best.preference")

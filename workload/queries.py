@@ -92,23 +92,23 @@ def config_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.symbols(_code(spark, sf_dir)).drop("pos")
+    return symbols.symbols(materialize(_code(spark, sf_dir))).drop("pos")
 
 
 def public_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = symbols.public_symbols(symbols.symbols(_code(spark, sf_dir)))
+    found = symbols.public_symbols(symbols.symbols(materialize(_code(spark, sf_dir))))
     return found.groupBy("project", "type").agg(
         F.count("*").alias("symbols"), F.count_if(F.col("docstring") != "").alias("with_docstring")
     )
 
 
 def key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = symbols.key_classes(symbols.symbols(_code(spark, sf_dir)))
+    best = symbols.key_classes(symbols.symbols(materialize(_code(spark, sf_dir))))
     return best.select("project", "rank", "name", "path", "line", "docstring")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plan.discover(_code(spark, sf_dir))
+    found = plan.discover(materialize(_code(spark, sf_dir)))
     return found.select(
         "project", "category", "label", "path", "line", F.array_join("terms", "|").alias("terms")
     )
