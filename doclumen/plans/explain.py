@@ -46,15 +46,16 @@ def keyword_sets(asked: DataFrame) -> DataFrame:
 def rank_documents(wanted: DataFrame, docs: DataFrame, top: int = fv.TOP_DOCS) -> DataFrame:
     """Best documents per keyword set: ``project, keywords, path, tenths, doc_rank``.
 
-    Scores are integer tenths.  The sum combines before its shuffle and the rank
-    filter becomes a group limit, so a task passes on ``top`` documents per set.
+    Scores are integer tenths.  The queries' words are broadcast if a count finds them
+    few, so that a document's hits meet them, and are summed, where they were found.
+    The rank filter becomes a group limit: a task passes on ``top`` documents per set.
     """
     words = wanted.select("project", "keywords", F.explode("keywords").alias("pattern"))
     low = docs.select("project", "path", F.lower("content").alias("text"))
     hits = scored_patterns(words.select("project", "pattern"), low)
     order = Window.partitionBy("project", "keywords").orderBy(F.desc("tenths"), F.desc("path"))
     return (
-        words.join(hits, ["project", "pattern"])
+        hits.join(broadcast_if_small(words), ["project", "pattern"])
         .groupBy("project", "keywords", "path")
         .agg(F.sum("tenths").cast("int").alias("tenths"))
         .where(F.col("tenths") >= fv.DOC_MIN_TENTHS)

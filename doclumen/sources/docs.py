@@ -9,21 +9,32 @@ _README = ["README.md", "README.rst", "README.txt", "readme.md"]
 
 
 def is_coverage_doc(path: Column) -> Column:
-    """README, ``docs/**`` text files, and package sources outside tests."""
-    in_docs = path.rlike(r"^docs/(?:.*/)?[^/]+\.(?:md|rst|txt)$")
+    """README, ``docs/**`` text files, and package sources outside tests.
+
+    The first condition says less than the second, in a form file formats prune by.
+    """
+    candidate = (
+        path.isin(_README)
+        | F.startswith(path, F.lit("docs/"))
+        | F.endswith(path, F.lit("__init__.py"))
+    )
+    text = path.rlike(
+        r"^(?:README\.(?:md|rst|txt)|readme\.md|docs/(?:.*/)?[^/]+\.(?:md|rst|txt))$"
+    )
     package = (
         path.rlike(r"(?:^|/)__init__\.py$")
         & ~F.contains(path, F.lit(".venv"))
         & ~F.contains(F.lower(path), F.lit("test"))
     )
-    return path.isin(_README) | in_docs | package
+    return candidate & (text | package)
 
 
 def is_explain_doc(path: Column) -> Column:
     """``README.md`` and Markdown below the documentation directories."""
-    in_docs = path.rlike(r"^(?:docs|doc|documentation)/(?:.*/)?[^/]*\.md$")
+    candidate = F.startswith(path, F.lit("doc")) | (path == "README.md")
+    text = path.rlike(r"^(?:README\.md|(?:docs|doc|documentation)/(?:.*/)?[^/]*\.md)$")
     archived = F.contains(path, F.lit("_archive")) | F.contains(path, F.lit("node_modules"))
-    return (path == "README.md") | (in_docs & ~archived)
+    return candidate & text & ~archived
 
 
 def coverage_docs(files: DataFrame) -> DataFrame:

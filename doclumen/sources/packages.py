@@ -18,7 +18,10 @@ def package_dirs(files: DataFrame) -> DataFrame:
     steps are aggregates, so a project of any size combines before its shuffle.
     """
     path, package = F.col("path"), F.col("package_dir")
-    inits = files.where(path.rlike(r"^(?:src/)?[^/]+/__init__\.py$")).select(
+    # The first condition is one that file formats can prune by.
+    inits = files.where(
+        F.endswith(path, F.lit("/__init__.py")) & path.rlike(r"^(?:src/)?[^/]+/__init__\.py$")
+    ).select(
         "project",
         F.regexp_replace(path, r"/__init__\.py$", "").alias("package_dir"),
         F.lit(False).alias("named"),

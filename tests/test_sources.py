@@ -69,14 +69,24 @@ def test_explain_docs(spark):
     assert paths(spark, docs.is_explain_doc, yes | no) == yes
 
 
-def test_content_is_not_read_where_only_paths_are_asked_for(spark, tmp_path):
+def scans(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "ReadSchema" in line]
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from doclumen.operators.extract import raw_features
     from doclumen.sources.packages import package_dirs
 
     spark.createDataFrame(
         [("p", "a/__init__.py", "x")], "project string, path string, content string"
     ).write.parquet(str(tmp_path / "t"))
     frame = spark.read.parquet(str(tmp_path / "t"))
-    plan = package_dirs(frame)._jdf.queryExecution().executedPlan().toString()
-    schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line]
-    assert "struct<project:string,path:string>" in schemas
-    assert "EqualTo(path,pyproject.toml)" in plan
+    inits, named = scans(package_dirs(frame))
+    assert "StringEndsWith(path,/__init__.py)" in inits
+    assert "ReadSchema: struct<project:string,path:string>" in inits
+    assert "EqualTo(path,pyproject.toml)" in named
+    assert "StringEndsWith(path,.py)" in scans(raw_features(frame))[0]
+    assert "StringStartsWith(path,docs/)" in scans(docs.coverage_docs(frame))[0]
+    assert "StringStartsWith(path,doc)" in scans(docs.explain_docs(frame))[0]
+    assert "content" not in scans(docs.explain_docs(frame).select("project").distinct())[0].split("ReadSchema")[1]

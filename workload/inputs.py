@@ -308,15 +308,17 @@ LAYOUT_FILES = f"""
         '[project]' || chr(10) || 'name = "named-pkg"' || chr(10) FROM {_BASES}
 """
 
-# The docs of each project: its documents, every line below a header of its own.
-DOC_FILES = """
-    SELECT source AS project,
-        CASE doc_id % 5 WHEN 0 THEN 'docs/_archive/d' WHEN 1 THEN 'doc/d' WHEN 2 THEN 'documentation/en/d'
-            ELSE 'docs/d' END
+# The docs of each project: its documents, every line below a header of its own, and
+# for some a line of routes.
+DOC_FILES = f"""
+    SELECT project,
+        CASE length(text) % 5 WHEN 0 THEN 'docs/_archive/d' WHEN 1 THEN 'doc/d'
+            WHEN 2 THEN 'documentation/en/d' ELSE 'docs/d' END
         || cast(doc_id AS string) || CASE WHEN doc_id % 7 = 0 THEN '.rst' ELSE '.md' END AS path,
-        '# ' || source || ' ' || lang || chr(10)
-        || replace(text, chr(10), chr(10) || '## ' || lang || chr(10)) AS content
-    FROM <documents>
+        '# ' || project || chr(10)
+        || CASE WHEN doc_id % 3 = 0 THEN 'Routes: /' || w1 || ', /' || w2 || '/' || w3 || chr(10) ELSE '' END
+        || replace(text, chr(10), chr(10) || '## ' || w1 || chr(10)) AS content
+    FROM ({_WORDS}) words
 """
 
 # Conversations as Markdown: a header per turn.

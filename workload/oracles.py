@@ -440,6 +440,26 @@ ORACLES = {
         """SELECT DATE '2026-01-01' AS run_date, project, recommendation AS "unknown"
         FROM advice WHERE position < 3"""
     ),
+    "assess_report_json": _sql(
+        f"""SELECT project, to_json(struct_pack(project := project, epistemic := struct_pack(
+                know := round(know, 2), uncertainty := round_even(uncertainty, 2),
+                overall_coverage := round_even(overall_coverage * 100, 1), total_features := total_features,
+                documented_features := documented_features, assessment := assessment,
+                recommendations := recommendations, moon := moon),
+            categories := coalesce(entries, []), strict := false, discovery := discovery))::VARCHAR AS json
+        FROM (SELECT a.*, r.recommendations, c.entries, struct_pack({", ".join(
+            f"{n} := coalesce(c.counts[{_lit(c)}], 0)" for n, c in zip(fv.DISCOVERY_COUNTS, fv.CATEGORIES))}) AS discovery
+            FROM assessed a
+            LEFT JOIN (SELECT p.project, coalesce(list(recommendation ORDER BY position)
+                    FILTER (WHERE recommendation IS NOT NULL), []) AS recommendations
+                FROM projects p LEFT JOIN advice d ON p.project = d.project GROUP BY p.project) r
+                ON a.project = r.project
+            LEFT JOIN (SELECT project, map(list(category), list(total)) AS counts,
+                    list(struct_pack(name := category, total := total, documented := documented,
+                        coverage := round_even(coverage * 100, 1), moon := {_MOON.format('coverage')},
+                        undocumented := coalesce(missing[1:20], [])) ORDER BY ord) AS entries
+                FROM categories GROUP BY project) c ON a.project = c.project) x"""
+    ),
     "topic_keywords": _sql(
         "SELECT query_id, query, array_to_string(keywords, '|') AS keywords FROM asked"
     ),
