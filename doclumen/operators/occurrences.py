@@ -13,7 +13,8 @@ Two plans give the same rows:
   ``(project, salt, chunk)`` and sorted so that a group's patterns come before its
   documents.  The documents then stream past the automaton: neither side of a
   group is collected.  ``salt`` spreads the documents of a large project over
-  tasks, ``chunk`` bounds the patterns an automaton holds.
+  tasks, ``chunk`` bounds the patterns an automaton holds.  Documents are read once,
+or for a project of more than ``PATTERNS_PER_CHUNK`` patterns once per chunk.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from doclumen.runtime import broadcast_if_small, materialize
 #: Largest pattern table that is broadcast.
 BROADCAST_PATTERNS = 200_000
 BROADCAST_CHARS = 16_000_000
-#: Most patterns one automaton holds in the shuffled plan.
-PATTERNS_PER_CHUNK = 200_000
+#: Most patterns one automaton holds in the shuffled plan (about 200 MB).
+PATTERNS_PER_CHUNK = 1_000_000
 #: The shuffled plan splits projects with more than this fraction of all documents.
 DOCUMENT_GROUPS = 4096
 

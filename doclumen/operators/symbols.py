@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from doclumen import fixed_values as fv
 from doclumen.functions.matching import pattern
 from doclumen.operators import skips
-from doclumen.runtime import broadcast_if_small
+from doclumen.runtime import broadcast_if_small, materialize
 from doclumen.sources.packages import package_dirs
 
 _PARSED = T.StructType(
@@ -107,7 +107,7 @@ def symbols(files: DataFrame, root_prefix: str = "") -> DataFrame:
     candidates = files.where(
         skips.is_python(F.col("path")) & ~skips.skips_symbols(F.col("path"), root_prefix)
     )
-    packages = package_dirs(files).select("project", "package_dir")
+    packages = materialize(package_dirs(files).select("project", "package_dir"))
     small = broadcast_if_small(packages)
     if small is not packages:
         candidates = candidates.join(small, "project").where(in_package)

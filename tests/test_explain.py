@@ -41,7 +41,7 @@ def test_related_topics(spark):
     assert row[0] == ["auth", "install", "test", "deploy", "database"]
 
 
-def reference_sections(text):
+def sections_line_by_line(text):
     """Line by line, as the definition reads."""
     out, header, body = [], "", []
     for line in text.split("\n"):
@@ -65,7 +65,7 @@ def reference_sections(text):
 )
 def test_sections(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(sections(F.col("t"))).collect()[0]
-    assert [(s["header"], s["body"]) for s in row[0]] == reference_sections(text)
+    assert [(s["header"], s["body"]) for s in row[0]] == sections_line_by_line(text)
 
 
 DOCS = {
