@@ -50,7 +50,9 @@ def rank_documents(wanted: DataFrame, docs: DataFrame, top: int = fv.TOP_DOCS) -
     few, so that a document's hits meet them, and are summed, where they were found.
     The rank filter becomes a group limit: a task passes on ``top`` documents per set.
     """
-    words = wanted.select("project", "keywords", F.explode("keywords").alias("pattern"))
+    words = materialize(
+        wanted.select("project", "keywords", F.explode("keywords").alias("pattern"))
+    )
     low = docs.select("project", "path", F.lower("content").alias("text"))
     hits = scored_patterns(words.select("project", "pattern"), low)
     order = Window.partitionBy("project", "keywords").orderBy(F.desc("tenths"), F.desc("path"))
@@ -71,8 +73,8 @@ def rank_sections(
 ) -> DataFrame:
     """Best sections of the ranked documents.
 
-    The ranked rows are few per keyword set; counted first, they are broadcast so
-    that the documents are read in place rather than shuffled.
+    The ranked rows are few per keyword set; if they measure small they are broadcast,
+    so that the documents are read in place rather than shuffled.
     """
     # The outer form, as for the plain one the optimizer infers a filter on the
     # array's size, which would split every document a second time.

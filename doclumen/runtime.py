@@ -8,8 +8,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows a side may have before it is no longer offered for broadcasting.
+#: Most rows and most characters (as JSON) of a side that is offered for broadcasting.
 BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 64_000_000
 
 
 def _checkpoint_dir(spark: SparkSession) -> str | None:
@@ -36,10 +37,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; larger inputs join by shuffle.
+    """Hint a broadcast only after measuring; larger inputs join by shuffle.
 
-    ``df`` must be cheap to count (materialised, or an aggregate of key columns).
+    Rows may hold texts or arrays of any length, so their size is summed as well as
+    counted, over no more rows than could be broadcast.  ``df`` must be cheap to read
+    again: pass a materialised table.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    chars = F.sum(F.length(F.to_json(F.struct(*df.columns))))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), chars).first()
+    if rows <= max_rows and (size or 0) <= BROADCAST_CHARS:
         return F.broadcast(df)
     return df

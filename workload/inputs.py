@@ -321,17 +321,13 @@ DOC_FILES = f"""
     FROM ({_WORDS}) words
 """
 
-# Conversations as Markdown: a header per turn.
+# Conversations as Markdown: a file per turn, every line below a header of its own.
 CHAT_FILES = """
     SELECT 'src' || cast(conv_id % 20 AS string) AS project,
-        'documentation/c' || cast(conv_id AS string) || '.md' AS path, <turns> AS content
-    FROM <conversations> GROUP BY conv_id
+        'documentation/c' || cast(conv_id AS string) || '/' || cast(turn AS string) || '.md' AS path,
+        '# ' || role || chr(10) || replace(text, chr(10), chr(10) || '# ' || role || chr(10)) AS content
+    FROM <conversations>
 """
-_SPARK_TURNS = (
-    "array_join(transform(array_sort(collect_list(struct(turn, role, text))),"
-    " t -> '# ' || t.role || chr(10) || t.text), chr(10))"
-)
-_DUCK_TURNS = "string_agg('# ' || role || chr(10) || text, chr(10) ORDER BY turn, role, text)"
 
 CODE_FILES = f"{SOURCE_FILES} UNION ALL {LAYOUT_FILES}"
 FILES = f"{SOURCE_FILES} UNION ALL {LAYOUT_FILES} UNION ALL {DOC_FILES} UNION ALL {CHAT_FILES}"
@@ -347,8 +343,8 @@ QUERIES = """
 
 
 def spark_files(spark: SparkSession, sf_dir: str, sql: str = FILES) -> DataFrame:
-    return spark_sql(spark, sf_dir, sql.replace("<turns>", _SPARK_TURNS))
+    return spark_sql(spark, sf_dir, sql)
 
 
 def duck_files(sql: str = FILES) -> str:
-    return duck_sql(sql.replace("<turns>", _DUCK_TURNS))
+    return duck_sql(sql)
