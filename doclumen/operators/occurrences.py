@@ -44,20 +44,28 @@ _MENTION = T.StructType(
     ]
 )
 _MENTION_ARROW = pa.schema([("project", pa.string()), ("pattern", pa.string())])
-_SCORE = T.StructType(
+_SCORED = T.StructType(
     [
         T.StructField("project", T.StringType()),
         T.StructField("path", T.StringType()),
-        T.StructField("pattern", T.StringType()),
-        T.StructField("tenths", T.IntegerType()),
+        T.StructField(
+            "hits",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("pattern", T.StringType()),
+                        T.StructField("tenths", T.IntegerType()),
+                    ]
+                )
+            ),
+        ),
     ]
 )
-_SCORE_ARROW = pa.schema(
+_SCORED_ARROW = pa.schema(
     [
         ("project", pa.string()),
         ("path", pa.string()),
-        ("pattern", pa.string()),
-        ("tenths", pa.int32()),
+        ("hits", pa.list_(pa.struct([("pattern", pa.string()), ("tenths", pa.int32())]))),
     ]
 )
 
@@ -96,13 +104,13 @@ def _new_mentions(project: str, path: str, text: str, find, seen: set) -> list[d
 
 
 def _scores(project: str, path: str, text: str, find, seen: set) -> list[dict]:
-    rows = []
-    for p in find(text):
+    hits = []
+    for p in sorted(find(text)):
         tenths = min(text.count(p), fv.COUNT_CAP)
         if f"# {p}" in text:
             tenths += fv.HEADING_TENTHS
-        rows.append({"project": project, "path": path, "pattern": p, "tenths": tenths})
-    return rows
+        hits.append({"pattern": p, "tenths": tenths})
+    return [{"project": project, "path": path, "hits": hits}] if hits else []
 
 
 def _by_broadcast(patterns: DataFrame, docs: DataFrame, emit, arrow, schema) -> DataFrame:
@@ -208,14 +216,17 @@ def _by_shuffle(patterns: DataFrame, docs: DataFrame, emit, arrow, schema) -> Da
     )
 
 
-def _occurrences(patterns: DataFrame, docs: DataFrame, emit, arrow, schema) -> DataFrame:
+def _occurrences(
+    patterns: DataFrame, docs: DataFrame, emit, arrow, schema, join_chunks=lambda df: df
+) -> DataFrame:
     patterns = materialize(patterns.select("project", "pattern").distinct())
     count, chars = patterns.agg(
         F.count("*"), F.sum(F.length("pattern") + F.length("project"))
     ).first()
     small = count <= BROADCAST_PATTERNS and (chars or 0) <= BROADCAST_CHARS
-    plan = _by_broadcast if small else _by_shuffle
-    return plan(patterns, docs, emit, arrow, schema)
+    if small:
+        return _by_broadcast(patterns, docs, emit, arrow, schema)
+    return join_chunks(_by_shuffle(patterns, docs, emit, arrow, schema))
 
 
 def mentioned_patterns(patterns: DataFrame, docs: DataFrame) -> DataFrame:
@@ -223,6 +234,16 @@ def mentioned_patterns(patterns: DataFrame, docs: DataFrame) -> DataFrame:
     return _occurrences(patterns, docs, _new_mentions, _MENTION_ARROW, _MENTION).distinct()
 
 
-def scored_patterns(patterns: DataFrame, docs: DataFrame) -> DataFrame:
-    """``project, path, pattern, tenths`` for every pattern a document holds."""
-    return _occurrences(patterns, docs, _scores, _SCORE_ARROW, _SCORE)
+def scored_documents(patterns: DataFrame, docs: DataFrame) -> DataFrame:
+    """``project, path, hits`` of the documents that hold a pattern of their project.
+
+    ``hits`` lists ``pattern, tenths`` in order of the pattern.
+    """
+
+    def join_chunks(found: DataFrame) -> DataFrame:
+        # A document has a row per chunk of its project's patterns.
+        return found.groupBy("project", "path").agg(
+            F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")
+        )
+
+    return _occurrences(patterns, docs, _scores, _SCORED_ARROW, _SCORED, join_chunks)

@@ -19,7 +19,7 @@ from doclumen.functions.topics import (
     relevance_tenths,
     topic_keywords,
 )
-from doclumen.operators.occurrences import scored_patterns
+from doclumen.operators.occurrences import scored_documents
 from doclumen.runtime import broadcast_if_small, materialize
 from doclumen.sources.docs import explain_docs
 
@@ -46,15 +46,23 @@ def keyword_sets(asked: DataFrame) -> DataFrame:
 def rank_documents(wanted: DataFrame, docs: DataFrame, top: int = fv.TOP_DOCS) -> DataFrame:
     """Best documents per keyword set: ``project, keywords, path, tenths, doc_rank``.
 
-    Scores are integer tenths.  The queries' words are broadcast if a count finds them
-    few, so that a document's hits meet them, and are summed, where they were found.
-    The rank filter becomes a group limit: a task passes on ``top`` documents per set.
+    Scores are integer tenths.  Documents of a project with the same hits, copies above
+    all, score the same for every query, so only the ``top`` of them by path can appear
+    in a ranking; the others go before any query meets them.  The queries' words are
+    broadcast if they measure small.  Both rank filters become group limits: a task
+    passes on ``top`` documents per group.
     """
     words = materialize(
         wanted.select("project", "keywords", F.explode("keywords").alias("pattern"))
     )
     low = docs.select("project", "path", F.lower("content").alias("text"))
-    hits = scored_patterns(words.select("project", "pattern"), low)
+    alike = Window.partitionBy("project", "hits").orderBy(F.desc("path"))
+    hits = (
+        scored_documents(words.select("project", "pattern"), low)
+        .withColumn("_copy", F.row_number().over(alike))
+        .where(F.col("_copy") <= top)
+        .select("project", "path", F.inline("hits"))
+    )
     order = Window.partitionBy("project", "keywords").orderBy(F.desc("tenths"), F.desc("path"))
     return (
         hits.join(broadcast_if_small(words), ["project", "pattern"])

@@ -138,3 +138,14 @@ def test_same_answers_from_the_shuffled_plan(answers, monkeypatch):
     monkeypatch.setattr(occurrences, "BROADCAST_PATTERNS", 0)
     monkeypatch.setattr(occurrences, "PATTERNS_PER_CHUNK", 2)
     assert answers(*asked) == expected
+
+
+def test_copies_do_not_crowd_out_or_lose_documents(spark, make_files):
+    docs = {f"docs/copy{i:02d}.md": "# kiwi\nkiwi" for i in range(30)}
+    docs["docs/a.md"] = "# kiwi\nkiwi kiwi"
+    query = spark.createDataFrame([(1, "p", "kiwi", None), (2, "p", "kiwi mango", None)], QUERY)
+    rows = plan.explain(make_files(docs), query).collect()
+    for row in rows:
+        assert [s["path"] for s in row["sources"]] == ["docs/a.md"] + [
+            f"docs/copy{i}.md" for i in (29, 28, 27, 26)
+        ]
