@@ -34,7 +34,10 @@ BROADCAST_PATTERNS = 200_000
 BROADCAST_CHARS = 16_000_000
 #: Most patterns one automaton holds in the shuffled plan (about 200 MB).
 PATTERNS_PER_CHUNK = 1_000_000
-#: The shuffled plan splits projects with more than this fraction of all documents.
+#: A project is split into groups of this many documents, which is enough to make
+#: the copy of its patterns that every group gets worth its while; more per group
+#: where all documents together would make more than so many groups.
+DOCUMENTS_PER_GROUP = 50_000
 DOCUMENT_GROUPS = 4096
 
 _MENTION = T.StructType(
@@ -140,14 +143,15 @@ def _by_broadcast(patterns: DataFrame, docs: DataFrame, emit, arrow, schema) ->
 def _special_routes(patterns: DataFrame, docs: DataFrame) -> DataFrame:
     """``project, salts, chunks`` of the projects that need more than one group.
 
-    Fewer than ``DOCUMENT_GROUPS`` projects can hold more than their share of the
-    documents, and only one in ``PATTERNS_PER_CHUNK`` patterns starts a second chunk.
+    Fewer than ``DOCUMENT_GROUPS`` projects can hold more documents than a group does,
+    and only one in ``PATTERNS_PER_CHUNK`` patterns starts a second chunk.
     """
     doc_counts = materialize(docs.groupBy("project").agg(F.count("*").alias("n")))
     total = doc_counts.agg(F.sum("n")).first()[0] or 1
+    per_group = max(DOCUMENTS_PER_GROUP, total / DOCUMENT_GROUPS)
     salts = doc_counts.select(
         "project",
-        F.ceil(F.col("n") * DOCUMENT_GROUPS / total).cast("int").alias("salts"),
+        F.ceil(F.col("n") / per_group).cast("int").alias("salts"),
         F.lit(1).alias("chunks"),
     )
     chunks = (

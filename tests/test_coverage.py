@@ -99,7 +99,7 @@ def small_limits(monkeypatch):
     """Force the shuffled plan, with several salts and chunks for the large project."""
     monkeypatch.setattr(occurrences, "BROADCAST_PATTERNS", 0)
     monkeypatch.setattr(occurrences, "PATTERNS_PER_CHUNK", 7)
-    monkeypatch.setattr(occurrences, "DOCUMENT_GROUPS", 8)
+    monkeypatch.setattr(occurrences, "DOCUMENTS_PER_GROUP", 5)
 
 
 def _random_corpus(seed):
