@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from doclumen.llm.common import id_order, land, words
 
@@ -81,7 +82,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def _permute(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy()))
 
