@@ -28,10 +28,12 @@ from doclumen.llm.common import drop, id_order, land
 LENGTH = 50
 ANCHOR = 24
 SPAN = LENGTH - ANCHOR + 1
-#: Bytes of texts whose anchors are found together; bytes of text for each bucket of anchors;
+#: Bytes of texts whose anchors are found together; texts whose anchors are counted together;
+#: bytes of text for each bucket of anchors;
 #: stretches of a bucket on average; stretches of one anchor beyond which windows are grouped singly.
 TOGETHER = 1 << 16
-BUCKET_BYTES = 1 << 26
+TEXTS = 4096
+BUCKET_BYTES = 1 << 24
 BUCKET_STRETCHES = 40_000
 MANY_STRETCHES = 20_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -103,7 +105,7 @@ def _counted(buckets: int):
     several have are known to recur, and go with each of these texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             texts = [t.as_py() or b"" for t in batch.column(1)]
             names = batch.column(0).to_numpy()
             who, what = [], []
@@ -189,7 +191,7 @@ def _recurring(buckets: int):
 
 
 def _around(buckets: int):
-    """The distinct stretches of each text whose anchor recurs, with the places of their first windows."""
+    """The stretches of each text whose anchor recurs, with the place of their first window."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
@@ -202,35 +204,23 @@ def _around(buckets: int):
                 bucket, rem = _keys(raw, buckets)
                 wanted.append((bucket.astype(np.uint64) << np.uint64(32)) | rem)
             orders, names = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
-            out: dict[str, list] = {n: [] for n in ("ord", "th", "anchor", "h", "stretch", "starts")}
             for first, owner, begin, end, h, joined, begins in stretches(texts):
                 bucket, rem = _keys(h, buckets)
+                # Keys of different texts are kept apart by mixing the text's number in.
+                number = np.arange(len(begins), dtype=np.uint64) * _C[0]
+                known = np.concatenate([w ^ k for w, k in zip(wanted[first : first + len(begins)], number)])
                 key = (bucket.astype(np.uint64) << np.uint64(32)) | rem
-                for t in np.unique(owner).tolist():
-                    lo, hi = np.searchsorted(owner, [t, t + 1])
-                    here = lo + np.flatnonzero(np.isin(key[lo:hi], wanted[first + t]))
-                    seen: dict[bytes, list[int]] = {}
-                    anchor_of: dict[bytes, int] = {}
-                    for i, b, e in zip(here.tolist(), begin[here].tolist(), end[here].tolist()):
-                        s = joined[b : e + LENGTH]
-                        if s in seen:
-                            seen[s].append(b - int(begins[t]))
-                        else:
-                            seen[s] = [b - int(begins[t])]
-                            anchor_of[s] = i
-                    n = len(seen)
-                    out["ord"].extend([orders[first + t]] * n)
-                    out["th"].extend([names[first + t]] * n)
-                    out["anchor"].extend(h[list(anchor_of.values())].view(np.int64).tolist())
-                    out["h"].extend([digest(s) for s in seen])
-                    out["stretch"].extend(seen)
-                    out["starts"].extend(seen.values())
-            arrays = [
-                pa.array(out["ord"], pa.int64()), pa.array(out["th"], pa.int64()), pa.array(out["anchor"], pa.int64()),
-                pa.array(np.array(out["h"], np.uint64).view(np.int64)), pa.array(out["stretch"], pa.binary()),
-                pa.array(out["starts"], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(out))
+                here = np.flatnonzero(np.isin(key ^ number[owner], known))
+                if not len(here):
+                    continue
+                found = [joined[b:e] for b, e in zip(begin[here].tolist(), (end[here] + LENGTH).tolist())]
+                text = first + owner[here]
+                arrays = [
+                    pa.array(orders[text]), pa.array(names[text]), pa.array(h[here].view(np.int64)),
+                    pa.array(np.array([digest(s) for s in found], np.uint64).view(np.int64)), pa.array(found, pa.binary()),
+                    pa.array((begin[here] - begins[owner[here]]).astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["ord", "th", "anchor", "h", "stretch", "start"])
 
     return each
 
@@ -239,13 +229,16 @@ class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of some strings, with the smallest document
     sampled for each group of rows that share ``LENGTH`` bytes."""
 
-    def __init__(self, strings: list[bytes], documents: np.ndarray):
-        lengths = np.array([len(s) for s in strings]) + 1
+    def __init__(self, joined: np.ndarray, lengths: np.ndarray, documents: np.ndarray):
+        strings = len(lengths)
+        lengths = lengths.astype(np.int64) + 1
         ends = np.cumsum(lengths) - 1
         n = int(ends[-1]) + 1
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
-        text[ends] = 0
-        owner = np.repeat(np.arange(len(strings)), lengths)
+        text = np.zeros(n, np.uint64)
+        within = np.ones(n, bool)
+        within[ends] = False
+        text[within] = joined.astype(np.uint64) + np.uint64(1)
+        owner = np.repeat(np.arange(strings), lengths)
         left = ends[owner] - np.arange(n)  # bytes from a place to the end of its string
         # Ranks by the first 4 bytes, then doubled; ends of strings differ by their number.
         padded = np.append(text, np.zeros(3, np.uint64))
@@ -316,10 +309,12 @@ def _matched(table: pa.Table) -> pa.Table:
     windows: list[bytes | None] = [None] * len(anchors)
     shared = np.flatnonzero(counts[which] > 1)  # a stretch that has its anchor alone matches no other
     if len(shared):
-        strings = [table.column("stretch")[int(i)].as_py() for i in shared]
-        index = RunLengthIndex(strings, firsts[shared])
-        width = max(map(len, strings)) - LENGTH + 1
-        bits = np.zeros((len(strings), width), bool)
+        chosen = table.column("stretch").combine_chunks().take(pa.array(shared))
+        _, offsets, data = chosen.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[chosen.offset : chosen.offset + len(chosen) + 1]
+        lengths = np.diff(offsets)
+        index = RunLengthIndex(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], lengths, firsts[shared])
+        bits = np.zeros((len(shared), int(lengths.max()) - LENGTH + 1), bool)
         for active, place, row in index.stream():
             whole = index.lengths[active] - place >= LENGTH
             active, place, row = active[whole], place[whole], row[whole]
@@ -354,19 +349,22 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed and remaining bytes of each text."""
     for batch in batches:
         kept, removed, spans = [], [], []
-        for text, marks in zip(batch.column("body"), batch.column("marks").to_pylist()):
+        marks = batch.column("marks")
+        each = marks.flatten()
+        start, size, windows = (each.field(n) for n in ("start", "n", "windows"))
+        begins = np.asarray(start, np.int64)
+        ends = begins + np.asarray(size, np.int64)
+        partly = np.asarray(windows.is_valid(), bool)
+        bounds = np.asarray(marks.offsets, np.int64) - int(marks.offsets[0].as_py())
+        for text, lo, hi in zip(batch.column("body"), bounds[:-1].tolist(), bounds[1:].tolist()):
             data = np.frombuffer(text.as_py() or b"", np.uint8)
-            change = np.zeros(len(data) + 1, np.int32)
-            for mark in marks:
-                starts = np.array(mark["starts"], np.int64)
-                if mark["windows"] is None:
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + mark["n"], -1)
-                else:
-                    own = np.flatnonzero(np.unpackbits(np.frombuffer(mark["windows"], np.uint8)))
-                    at = (starts[:, None] + own[None, :]).reshape(-1)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + LENGTH, -1)
+            whole = lo + np.flatnonzero(~partly[lo:hi])
+            froms, tos = [begins[whole]], [ends[whole]]
+            for k in (lo + np.flatnonzero(partly[lo:hi])).tolist():
+                own = np.flatnonzero(np.unpackbits(np.frombuffer(windows[k].as_py(), np.uint8)))
+                froms.append(begins[k] + own)
+                tos.append(begins[k] + own + LENGTH)
+            change = np.bincount(np.concatenate(froms), minlength=len(data) + 1) - np.bincount(np.concatenate(tos), minlength=len(data) + 1)
             gone = np.cumsum(change[:-1]) > 0
             kept.append(data[~gone].tobytes())
             removed.append(int(gone.sum()))
@@ -443,7 +441,7 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     owners = base.filter(~F.col("copy")).select("ord", "th").distinct()
     wanted = land(owners.join(wanted, "th"), release=True)
     around = texts.join(wanted, ["ord", "th"]).mapInArrow(
-        _around(buckets), "ord long, th long, anchor long, h long, stretch binary, starts array<int>"
+        _around(buckets), "ord long, th long, anchor long, h long, stretch binary, start int"
     )
     around = land(around, release=True)
     drop(found)
@@ -461,8 +459,8 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drop(distinct)
 
     own = F.when(F.col("ord") == F.col("first"), F.col("windows"))
-    mark = F.struct("starts", F.col("n"), own.alias("windows")).alias("mark")
-    marks = around.select("ord", "th", "anchor", "h", "starts", F.octet_length("stretch").alias("n")).join(matched, ["anchor", "h"])
+    mark = F.struct("start", "n", own.alias("windows")).alias("mark")
+    marks = around.select("ord", "th", "anchor", "h", "start", F.octet_length("stretch").alias("n")).join(matched, ["anchor", "h"])
     marks = marks.filter((F.col("ord") > F.col("first")) | F.col("windows").isNotNull()).select("ord", "th", mark)
     marks = land(marks.groupBy("ord", "th").agg(F.collect_list("mark").alias("marks")), release=True)
     drop(around)
