@@ -22,16 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def land(df: DataFrame, release: bool = False) -> DataFrame:
+#: Rows that a Python worker gets at once; texts are some kilobytes each.
+BATCH_ROWS = 2000
+
+
+def land(df: DataFrame, release: bool = False, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     A landed table outlives lost executors and cuts the lineage.  With ``release`` the
     shuffle files of the jobs behind it are let go at once, so that disk holds one step's
     shuffles at a time; Spark removes them only when the driver collects its garbage.
+    Python workers get small batches while it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/doclumen-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(size, before)
     schema = df.schema
     if release:
         del df

@@ -33,7 +33,7 @@ SPAN = LENGTH - ANCHOR + 1
 #: stretches of a bucket on average; stretches of one anchor beyond which windows are grouped singly.
 TOGETHER = 1 << 16
 TEXTS = 4096
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 25
 BUCKET_STRETCHES = 40_000
 MANY_STRETCHES = 20_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -137,14 +137,15 @@ def _counted(buckets: int):
             # A hash that several texts have is sent once, with a mark in place of a text.
             keep = ~several | new
             bucket, rem = _keys(h[keep], buckets)
-            names_of, place = np.unique(text[keep], return_inverse=True)
-            place = np.where(several[keep], len(names_of), place).astype("<u2" if len(names_of) < 65_535 else "<u4")
+            text, mark = text[keep], several[keep]
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
                 part = order[bounds[b] : bounds[b + 1]]
                 if len(part):
-                    tell(b, None, place[part].tobytes(), names_of.tobytes(), rem[part].tobytes())
+                    some, place = np.unique(text[part], return_inverse=True)
+                    place = np.where(mark[part], len(some), place).astype("<u2" if len(some) < 65_535 else "<u4")
+                    tell(b, None, place.tobytes(), some.tobytes(), rem[part].tobytes())
             types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
@@ -436,7 +437,7 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _counted(buckets), "bucket long, th long, recurring binary, texts binary, rems binary"
     )
     found = counted.groupBy("bucket").applyInArrow(_recurring(buckets), "th long, recurring binary, bucket long")
-    found = land(found.drop("bucket"), release=True)
+    found = land(found.drop("bucket"), release=True, batch_rows=TEXTS)
     wanted = found.groupBy("th").agg(F.collect_list("recurring").alias("recurring"))
     owners = base.filter(~F.col("copy")).select("ord", "th").distinct()
     wanted = land(owners.join(wanted, "th"), release=True)
