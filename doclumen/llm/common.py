@@ -80,25 +80,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps: each points the neighbours of a node at the
     smallest of them, so that edges end as stars around the smallest node of their
-    component.  Everything is a grouped minimum and an equi-join, so a node with a third
-    of all edges is combined before the shuffle and split by adaptive execution.
+    component.  Everything is a grouped minimum and an equi-join with it.  The minima are
+    landed, so that the join alone deals out a node with a third of all edges and
+    adaptive execution can split it.
     """
     def pairs(df: DataFrame) -> DataFrame:
         return df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def large_star(df: DataFrame) -> DataFrame:
         both = df.select(F.col("a").alias("u"), F.col("b").alias("v")).union(df.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = land(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
     def small_star(df: DataFrame) -> DataFrame:
-        least = df.groupBy("a").agg(F.min("b").alias("m"))
+        least = land(df.groupBy("a").agg(F.min("b").alias("m")))
         return df.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
 
     now = land(pairs(edges))
     before = None
     for _ in range(max_rounds):
-        after = land(pairs(small_star(pairs(large_star(now)))))
+        after = land(pairs(small_star(land(pairs(large_star(now))))))
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(now)
         now = after

@@ -168,6 +168,6 @@ def embedding_dedup(vectors: DataFrame) -> DataFrame:
     named = named.select("_uid", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     every = base.select("_uid", "vec_id").join(named, "_uid", "left").withColumn("component", F.coalesce("component", "_uid"))
     every = land(every)
-    least = every.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    least = land(every.groupBy("component").agg(F.min("vec_id").alias("component_id")))
     out = every.join(least, "component").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

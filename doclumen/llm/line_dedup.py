@@ -95,7 +95,7 @@ def _deduplicated(base: DataFrame) -> DataFrame:
     place = F.struct("ord", "uid", "at")
     firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     firsts = land(firsts.select("h", "first"))
-    occurrences = found.join(firsts, "h")
+    occurrences = land(found.join(firsts, "h"))
     of_first = occurrences.filter(place == F.col("first")).groupBy("uid").agg(F.collect_list(F.struct("at", "n", "h")).alias("spans"))
     of_first = land(of_first)
     parts = base.select("uid", "body").join(of_first, "uid").select("body", "spans")

@@ -26,7 +26,7 @@ BLOCK_WORDS = 64
 SHARD_BLOCKS = 16_384
 CHUNK = 16_384
 #: Documents of a group whose words are summed in one task.
-GROUP_DOCS = 65_536
+GROUP_DOCS = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -115,7 +115,8 @@ def _pieces(base: DataFrame, seed: int) -> DataFrame:
     blocks = F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size"))).otherwise(0)
     sources = land(targets(sizes).withColumn("blocks", blocks).withColumn("quota", quota.cast("long")))
-    taken = slots(sources, seed).groupBy("source_rank", "block").agg(F.count("*").alias("_times"))
+    # Landed so that its size is known: a plan would take it for as small as the sources it grows from.
+    taken = land(slots(sources, seed).groupBy("source_rank", "block").agg(F.count("*").alias("_times")))
 
     groups = max(1, -(-base.count() // GROUP_DOCS))
     known = sources.select(F.col("source").alias("_of"), F.col("rank").cast("long").alias("_rank"), "source_size", "target")

@@ -138,6 +138,7 @@ def kd_shards(
             "_size",
             F.col("doc_id").alias("_keep_id"),
             F.crc32(text.cast("binary")).alias("_keep_crc"),
+            F.lit(0).cast("long").alias("_first"),
             *(c.cast("double").alias(f"_dim_{n}") for n, c in dims.items()),
         )
     )
@@ -152,7 +153,7 @@ def kd_shards(
 
     level = base.select(
         "_uid", "_size", "_keep_id", "_keep_crc", *(scaled(n) for n in names),
-        F.lit(0).cast("long").alias("_first"), F.lit(shards).cast("long").alias("_shards"),
+        "_first", F.lit(shards).cast("long").alias("_shards"),
     )
     previous = base
     for _ in range((shards - 1).bit_length()):

@@ -119,7 +119,7 @@ def simhash(docs: DataFrame) -> DataFrame:
     found = components(land(links(distinct.select("fp")), release=True))
     roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     roots = land(roots.withColumn("component", F.coalesce("component", "fp")))
-    least = roots.groupBy("component").agg(F.min("_least").alias("component_id"))
+    least = land(roots.groupBy("component").agg(F.min("_least").alias("component_id")))
     named = land(roots.join(least, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 

@@ -428,7 +428,7 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("sha"),
         )
     )
-    firsts = base.groupBy("sha").agg(F.min("ord").alias("first"))
+    firsts = land(base.groupBy("sha").agg(F.min("ord").alias("first")))
     base = land(base.join(firsts, "sha").withColumn("copy", F.col("ord") > F.col("first")).drop("first"))
     total = base.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
