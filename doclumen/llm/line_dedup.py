@@ -19,6 +19,7 @@ WINDOW = 2
 DIVISOR = 2
 #: Chunks of fewer lines are never removed.
 MIN_LINES = 2
+COUNTS = ("n_removed_lines", "n_removed_chunks")
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
@@ -45,14 +46,14 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out: list[tuple] = []
-        for uid, order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for order, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             lines = (text.as_py() or b"").split(b"\n")
             for at, n in chunks(lines):
                 if n >= MIN_LINES:
-                    out.append((uid, order, at, n, digest(b"\n".join(lines[at : at + n]))))
+                    out.append((order, th, at, n, digest(b"\n".join(lines[at : at + n]))))
         columns = list(zip(*out)) or [()] * 5
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["uid", "ord", "at", "n", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["ord", "th", "at", "n", "h"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,42 +69,45 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the chunks that equal, byte for byte, the one they repeat."""
+    """Rows with ``kept``: the text without the chunks that equal, byte for byte, the one they
+    repeat, or null if nothing goes."""
     for batch in batches:
         kept, gone_lines, gone_chunks = [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-            value, n_lines, n_chunks = text.as_py(), 0, 0
-            if value is not None and spans:
-                lines = value.split(b"\n")
+        for text, spans in zip(batch.column("body"), batch.column("spans").to_pylist()):
+            value, n_lines, n_chunks = None, 0, 0
+            if spans:
+                lines = text.as_py().split(b"\n")
                 keep = [True] * len(lines)
                 for span in spans:
                     at, n = span["at"], span["n"]
                     if b"\n".join(lines[at : at + n]) == span["chunk"]:
                         keep[at : at + n] = [False] * n
                         n_lines, n_chunks = n_lines + n, n_chunks + 1
-                value = b"\n".join(line for line, k in zip(lines, keep) if k)
+                value = b"\n".join(line for line, k in zip(lines, keep) if k) if n_chunks else None
             kept.append(value)
             gone_lines.append(n_lines)
             gone_chunks.append(n_chunks)
-        arrays = [batch.column(0), pa.array(kept, pa.binary()), pa.array(gone_lines, pa.int64()), pa.array(gone_chunks, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["uid", "kept", "n_removed_lines", "n_removed_chunks"])
+        others = [c for c in batch.schema.names if c.startswith("_col_")]
+        arrays = [*(batch.column(c) for c in others), pa.array(kept, pa.binary()), pa.array(gone_lines, pa.int64()), pa.array(gone_chunks, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*others, "kept", *COUNTS])
 
 
-def _deduplicated(base: DataFrame) -> DataFrame:
-    """``uid, kept (binary), n_removed_lines, n_removed_chunks`` for ``base(uid, ord, body)``."""
-    found = land(base.select("uid", "ord", "body").mapInArrow(_hashed, "uid long, ord long, at int, n int, h binary"))
-    place = F.struct("ord", "uid", "at")
+def _repeats(texts: DataFrame) -> DataFrame:
+    """For ``texts(ord, th, body)`` that repeat chunks: ``spans``, each with the bytes of the first such chunk.
+
+    Joins with texts are merges at any size: what is joined grows with the texts.
+    """
+    found = land(texts.mapInArrow(_hashed, "ord long, th long, at int, n int, h binary"))
+    place = F.struct("ord", "th", "at")
     firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    firsts = land(firsts.select("h", "first"))
-    occurrences = land(found.join(firsts, "h"))
-    of_first = occurrences.filter(place == F.col("first")).groupBy("uid").agg(F.collect_list(F.struct("at", "n", "h")).alias("spans"))
-    of_first = land(of_first)
-    parts = base.select("uid", "body").join(of_first, "uid").select("body", "spans")
-    parts = land(parts.mapInArrow(_cut_out, "h binary, chunk binary"), release=True)
-    repeats = occurrences.filter(place != F.col("first")).select("uid", "at", "n", "h")
-    spans = land(repeats.join(parts, "h").groupBy("uid").agg(F.collect_list(F.struct("at", "n", "chunk")).alias("spans")), release=True)
-    marked = base.select("uid", "body").join(spans, "uid")
-    return land(marked.mapInArrow(_removed, "uid long, kept binary, n_removed_lines long, n_removed_chunks long"), release=True)
+    occurrences = land(found.join(land(firsts.select("h", "first")), "h"))
+    of_first = occurrences.filter(place == F.col("first")).dropDuplicates(["h"])
+    of_first = land(of_first.groupBy("ord", "th").agg(F.collect_list(F.struct("at", "n", "h")).alias("spans")))
+    parts = texts.join(of_first.hint("merge"), ["ord", "th"]).select("body", "spans").mapInArrow(_cut_out, "h binary, chunk binary")
+    parts = land(parts.dropDuplicates(["h"]), release=True)
+    repeats = occurrences.filter(place != F.col("first")).select("ord", "th", "at", "n", "h").distinct()
+    repeats = land(repeats.join(parts, "h").select("ord", "th", F.struct("at", "n", "chunk").alias("span")))
+    return land(repeats.groupBy("ord", "th").agg(F.collect_list("span").alias("spans")), release=True)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -111,20 +115,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     ``n_removed_lines, n_removed_chunks`` (columns of these names in ``docs`` are replaced).
 
     Of equal chunks the first stays: that of the smallest ``doc_id`` (missing ids last, then
-    by place in ``docs``), and there the earliest.  A null text stays null, an empty one
-    empty; a text that only repeats others becomes empty and its row stays.  Lines end at
-    line feeds only.  ``n_chars`` is set again where ``docs`` has it.
+    by a hash of the text), and there the earliest; rows alike in id and text are treated
+    alike.  A null text stays null, an empty one empty; a text that only repeats others
+    becomes empty and its row stays.  Lines end at line feeds only.  ``n_chars`` is set
+    again where ``docs`` has it.
     """
-    counts = ("n_removed_lines", "n_removed_chunks")
-    columns = [c for c in docs.columns if c not in counts]
+    columns = [c for c in docs.columns if c not in COUNTS]
     place = {c: f"_col_{i}" for i, c in enumerate(columns)}
-    base = land(docs.select(F.monotonically_increasing_id().alias("uid"), *(F.col(c).alias(p) for c, p in place.items())), release=True)
-    body = F.col(place["text"]).cast("binary").alias("body")
-    changed = _deduplicated(base.select("uid", id_order(F.col(place["doc_id"]).cast("long")).alias("ord"), body))
-    out = base.join(changed, "uid", "left")
-    text = F.when(F.col(counts[0]) > 0, F.decode("kept", "utf-8")).otherwise(F.col(place["text"]))
-    new = {"text": text, "n_chars": F.when(F.col(counts[0]) > 0, F.length(text)).otherwise(F.col(place["n_chars"]) if "n_chars" in place else None)}
-    return out.select(
-        *(new.get(c, F.col(p)).cast(docs.schema[c].dataType).alias(c) for c, p in place.items()),
-        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
-    )
+    body = F.col("text").cast("binary")
+    keys = [id_order(F.col("doc_id").cast("long")).alias("ord"), F.xxhash64(body).alias("th"), body.alias("body")]
+    spans = _repeats(docs.select(*keys))
+    every = docs.select(*keys, *(F.col(c).alias(p) for c, p in place.items())).join(spans.hint("merge"), ["ord", "th"], "left")
+    schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in place.items())
+    out = every.mapInArrow(_removed, f"{schema}, kept binary, n_removed_lines long, n_removed_chunks long")
+    changed = F.col("kept").isNotNull()
+    text = F.when(changed, F.col("kept").cast("string")).otherwise(F.col(place["text"]))
+    new = {"text": text, "n_chars": F.when(changed, F.length(text)).otherwise(F.col(place["n_chars"]) if "n_chars" in place else None)}
+    return out.select(*(new.get(c, F.col(p)).cast(docs.schema[c].dataType).alias(c) for c, p in place.items()), *COUNTS)
