@@ -7,6 +7,7 @@ trees have not seen turns their margin into a probability.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,14 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclumen.llm.common import land
 from doclumen.llm.labelled import featured, sample, scored
 
-#: Letters of a word beginning in the lexicon; toxic documents that must have it, and
-#: their share; how many times more often toxic documents must have it; most entries.
-BEGINNING = 4
-MIN_SUPPORT, MIN_SHARE = 3, 0.004
-MIN_RATIO = 12.0
-MAX_LEXICON = 5_000
+#: Letters of word beginnings in the lexicon.  A strong entry is so much more frequent in toxic
+#: documents that all beginnings together have only ``CHANCE`` of bringing one by accident; a
+#: weak one needs ``WEAK_SHARE`` of that support and is ``WEAK_RATIO`` times more frequent in them.
+SHORTEST, LONGEST = 4, 8
+CHANCE, MIN_RATIO = 0.01, 12.0
+WEAK_SHARE, WEAK_RATIO = 0.75, 40.0
+STRONG, WEAK = 2, 1
+#: Most entries; the strong and then the more frequent come first.
+MAX_LEXICON = 20_000
 #: Words around a lexicon word in which a second-person word is near.
 NEAR = 5
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
@@ -38,10 +43,16 @@ STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
 
 
 def beginnings(text: str) -> set[str]:
-    return {w[:BEGINNING] for w in LETTERS.findall(text.lower()) if len(w) >= BEGINNING}
+    words = set(LETTERS.findall(text.lower()))
+    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def learned_lexicon(labelled: DataFrame) -> frozenset[str]:
+def grade(word: str, lexicon: dict[str, int]) -> int:
+    """The strongest entry that a word begins with; 0 if none."""
+    return max((lexicon.get(word[:k], 0) for k in range(SHORTEST, LONGEST + 1)), default=0)
+
+
+def learned_lexicon(labelled: DataFrame) -> dict[str, int]:
     """Beginnings that tell toxic from other documents; counted by Spark, at most ``MAX_LEXICON``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,15 +66,23 @@ def learned_lexicon(labelled: DataFrame) -> frozenset[str]:
 
     totals = labelled.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")).first()
     if not totals["t"] or not totals["o"]:
-        return frozenset()
+        return {}
     counts = labelled.mapInArrow(each, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    counts = land(counts)
+    # In so many toxic documents, and no others, a beginning does not come by accident.
+    share = totals["t"] / (totals["t"] + totals["o"])
+    support = math.log(CHANCE / max(counts.count(), 1)) / math.log(share)
     ratio = (F.col("t") / totals["t"]) / ((F.col("n") - F.col("t") + 0.5) / totals["o"])
-    best = counts.filter((F.col("t") >= max(MIN_SUPPORT, MIN_SHARE * totals["t"])) & (ratio >= MIN_RATIO)).orderBy(ratio.desc(), "word").limit(MAX_LEXICON)
-    return frozenset(r["word"] for r in best.select("word").collect())
+    strong = (F.col("t") >= support) & (ratio >= MIN_RATIO)
+    weak = (F.col("t") >= support * WEAK_SHARE) & (ratio >= WEAK_RATIO)
+    entries = counts.select("word", "t", F.when(strong, STRONG).when(weak, WEAK).alias("grade")).filter("grade is not null")
+    best = entries.orderBy(F.desc("grade"), F.desc("t"), "word").limit(MAX_LEXICON).select("word", "grade").collect()
+    return {r["word"]: r["grade"] for r in best}
 
 
-def features(lexicon: frozenset[str]) -> Callable[[str], list[float]]:
+def features(lexicon: dict[str, int]) -> Callable[[str], list[float]]:
     """Dense features of a whole text."""
+    stems = {entry[:SHORTEST] for entry in lexicon}
 
     def measure(text: str) -> list[float]:
         raw = text.encode("utf-8", "replace")
@@ -71,7 +90,9 @@ def features(lexicon: frozenset[str]) -> Callable[[str], list[float]]:
         size = max(len(raw), 1)
         words = LETTERS.findall(text.lower())
         n = max(len(words), 1)
-        hits = [i for i, w in enumerate(words) if w[:BEGINNING] in lexicon]
+        graded = [(i, grade(w, lexicon)) for i, w in enumerate(words) if w[:SHORTEST] in stems]
+        hits = [i for i, g in graded if g == STRONG]
+        weak = sum(g == WEAK for _, g in graded)
         second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         near = 0
         if hits and second:
@@ -80,13 +101,13 @@ def features(lexicon: frozenset[str]) -> Callable[[str], list[float]]:
             gap = np.minimum(ends[at + 1] - hits, np.array(hits) - ends[at])
             near = int((gap <= NEAR).sum())
         hidden = OBFUSCATED.findall(text)
-        found = sum(re.sub(r"[^\w]|_", "", w.lower().translate(STANDS_FOR))[:BEGINNING] in lexicon for w in hidden)
+        found = sum(grade(re.sub(r"[^\w]|_", "", w.lower().translate(STANDS_FOR)), lexicon) == STRONG for w in hidden)
         capitals = byte[65:91].sum()
         letters = capitals + byte[97:123].sum()
         marks = byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum()
         closest = float(np.diff(hits).min()) if len(hits) > 1 else 1e6
         return [
-            len(hits) / n, float(len(hits)), len({words[i] for i in hits}) / n, closest,
+            len(hits) / n, float(len(hits)), weak / n, float(weak), len({words[i] for i in hits}) / n, closest,
             len(second) / n, near / n, float(near), capitals / max(letters, 1),
             byte[33] / size, byte[63] / size, marks / size, byte[48:58].sum() / size,
             len(hidden) / n, float(found), letters / n, float(np.log1p(n)),
@@ -163,9 +184,14 @@ class ToxicityModel:
     """Learned from ``labels.toxic``; a class that the labels lack makes the score constant."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
-        labelled = sample(docs, labels, "toxic")
+        labelled = land(sample(docs, labels, "toxic"))
+        # Trees learn from rows that their lexicon has not seen, or they would trust its accidents:
+        # each half is measured with the other half's lexicon.  Scoring has that of all rows.
+        half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+        halves = [labelled.filter(half), labelled.filter(~half)]
+        seen = [featured(mine, features(learned_lexicon(other))) for mine, other in (halves, halves[::-1])]
+        x, y = (np.concatenate(parts) for parts in zip(*(s for s in seen if len(s[1])))) if any(len(s[1]) for s in seen) else seen[0]
         self.lexicon = learned_lexicon(labelled)
-        x, y = featured(labelled, features(self.lexicon))
         self.constant = 0.0 if not len(y) else float(y.mean())
         self.trees = None
         if 0 < self.constant < 1 and len(y) >= 10:
