@@ -76,22 +76,28 @@ def _list_dirs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             found = []
             try:
-                with os.scandir(os.path.join(row["root"], row["path"])) as entries:
-                    for entry in entries:
-                        is_dir = entry.is_dir(follow_symlinks=False)
-                        if not is_dir and not entry.name.endswith(SUFFIXES):
-                            continue
-                        found.append(
-                            {
-                                "project": row["project"],
-                                "root": row["root"],
-                                "path": os.path.join(row["path"], entry.name),
-                                "is_dir": is_dir,
-                                "size": 0 if is_dir else entry.stat().st_size,
-                            }
-                        )
+                with os.scandir(os.path.join(row["root"], row["path"])) as listing:
+                    entries = list(listing)
             except OSError:
                 continue
+            for entry in entries:
+                # A dangling link, or a file removed meanwhile, costs only itself.
+                try:
+                    is_dir = entry.is_dir(follow_symlinks=False)
+                    if not is_dir and not entry.name.endswith(SUFFIXES):
+                        continue
+                    size = 0 if is_dir else entry.stat().st_size
+                except OSError:
+                    continue
+                found.append(
+                    {
+                        "project": row["project"],
+                        "root": row["root"],
+                        "path": os.path.join(row["path"], entry.name),
+                        "is_dir": is_dir,
+                        "size": size,
+                    }
+                )
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 

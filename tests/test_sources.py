@@ -90,3 +90,13 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "StringStartsWith(path,docs/)" in scans(docs.coverage_docs(frame))[0]
     assert "StringStartsWith(path,doc)" in scans(docs.explain_docs(frame))[0]
     assert "content" not in scans(docs.explain_docs(frame).select("project").distinct())[0].split("ReadSchema")[1]
+
+
+def test_dangling_links_cost_only_themselves(spark, tmp_path):
+    for name in ("README.txt", "a.py", "docs/x.md", "pkg/b.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("text")
+    (tmp_path / "README.md").symlink_to(tmp_path / "gone.md")
+    (tmp_path / "docs" / "y.md").symlink_to(tmp_path / "gone.md")
+    found = {r.path for r in scan_trees(spark.createDataFrame([("p", str(tmp_path))], "project string, root string")).collect()}
+    assert {"a.py", "docs/x.md", "pkg/b.py"} <= found
