@@ -1,8 +1,10 @@
 """Removing repeated multi-line chunks with content-defined boundaries (operator 4).
 
-A rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is divisible by
-``DIVISOR``, so that the same lines are cut alike wherever they stand.  Chunks are counted
-by a 128-bit hash; what is removed has first been compared with the first chunk's bytes.
+A rolling hash over the hashes of ``WINDOW`` lines decides where a boundary may be, so that
+the same lines are cut alike wherever they stand.  From every boundary a chunk runs to
+the next one that gives it ``MIN_LINES`` lines with content: chunks overlap, and a short
+passage between other lines has a chunk of its own.  Chunks are counted by a 128-bit
+hash; what is removed has first been compared with the first chunk's bytes.
 """
 
 from __future__ import annotations
@@ -16,28 +18,39 @@ from pyspark.sql import functions as F
 from doclumen.llm.common import id_order, land
 
 WINDOW = 2
-DIVISOR = 2
-#: Chunks of fewer lines are never removed.
+#: A line ends at a boundary unless its hash is divisible by this.
+DIVISOR = 32
+#: Lines with content that a chunk has at least.
 MIN_LINES = 2
 COUNTS = ("n_removed_lines", "n_removed_chunks")
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """First line and number of lines of each chunk."""
+    """First line and number of lines of each chunk.
+
+    A chunk starts at a line with content behind a boundary (the text's start is one, its
+    end another), so that no line is in more than two chunks.
+    """
     from xxhash import xxh64_intdigest as digest
 
-    out, start, before = [], 0, [0] * (WINDOW - 1)
+    ends, full, before = [], [0], [0] * (WINDOW - 1)
     for i, line in enumerate(lines):
         now = digest(line)
         rolled = now
         for h in before:
             rolled = (rolled * 0x9E3779B97F4A7C15 + h) & (2**64 - 1)
         before = [now, *before][: WINDOW - 1]
-        if ((rolled ^ (rolled >> 33)) * 0xC2B2AE3D27D4EB4F >> 32) % DIVISOR == 0 and i + 1 - start >= 1:
-            out.append((start, i + 1 - start))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines) - start))
+        full.append(full[-1] + bool(line.strip()))
+        if ((rolled ^ (rolled >> 33)) * 0xC2B2AE3D27D4EB4F >> 32) % DIVISOR or i + 1 == len(lines):
+            ends.append(i + 1)
+    out, e = [], 0
+    for start in [0, *ends[:-1]]:
+        while e < len(ends) and full[ends[e]] - full[start] < MIN_LINES:
+            e += 1
+        if e == len(ends):
+            break
+        if full[start + 1] > full[start]:
+            out.append((start, ends[e] - start))
     return out
 
 
@@ -49,8 +62,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for order, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             lines = (text.as_py() or b"").split(b"\n")
             for at, n in chunks(lines):
-                if n >= MIN_LINES:
-                    out.append((order, th, at, n, digest(b"\n".join(lines[at : at + n]))))
+                out.append((order, th, at, n, digest(b"\n".join(lines[at : at + n]))))
         columns = list(zip(*out)) or [()] * 5
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["ord", "th", "at", "n", "h"])
@@ -82,7 +94,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at, n = span["at"], span["n"]
                     if b"\n".join(lines[at : at + n]) == span["chunk"]:
                         keep[at : at + n] = [False] * n
-                        n_lines, n_chunks = n_lines + n, n_chunks + 1
+                        n_chunks += 1
+                n_lines = keep.count(False)
                 value = b"\n".join(line for line, k in zip(lines, keep) if k) if n_chunks else None
             kept.append(value)
             gone_lines.append(n_lines)
@@ -115,8 +128,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     ``n_removed_lines, n_removed_chunks`` (columns of these names in ``docs`` are replaced).
 
     Of equal chunks the first stays: that of the smallest ``doc_id`` (missing ids last, then
-    by a hash of the text), and there the earliest; rows alike in id and text are treated
-    alike.  A null text stays null, an empty one empty; a text that only repeats others
+    by a hash of the text), and there the earliest; chunks are judged on the input, not on
+    what is left, and a removed line always stands in an earlier place; rows alike in id
+    and text are treated alike.  A null text stays null, an empty one empty; a text that only repeats others
     becomes empty and its row stays.  Lines end at line feeds only.  ``n_chars`` is set
     again where ``docs`` has it.
     """

@@ -167,13 +167,13 @@ def test_lines(docs, empty):
     for r in order:
         if r[1] is None or (r[0] == 3 and r[2] is None):  # alike in id and text: treated as the other
             continue
-        parts, kept = r[1].encode().split(b"\n"), []
+        parts, gone = r[1].encode().split(b"\n"), set()
         for at, n in lines.chunks(parts):
             chunk = b"\n".join(parts[at : at + n])
-            if n < 2 or chunk not in seen:
-                kept += parts[at : at + n]
-            seen |= {chunk} if n >= 2 else set()
-        want.append((r[0], b"\n".join(kept).decode()))
+            if chunk in seen:
+                gone |= set(range(at, at + n))
+            seen.add(chunk)
+        want.append((r[0], b"\n".join(x for k, x in enumerate(parts) if k not in gone).decode()))
     got = out.filter("text is not null").collect()
     assert {(r.doc_id, r.text) for r in got} == set(want) and out.count() == len(rows())
     assert all(r.n_chars == len(r.text) for r in got if r.n_removed_lines)
@@ -181,6 +181,23 @@ def test_lines(docs, empty):
     assert lines.line_dedup(empty).count() == 0
 
 
+def test_passages_between_other_lines_are_found():
+    """Passages of some lines have a chunk of their own nearly always; no line is in over two chunks."""
+    rng = np.random.default_rng(4)
+    line = lambda: bytes(rng.integers(97, 123, 30).astype(np.uint8))
+    found = 0
+    for _ in range(500):
+        passage = [line() for _ in range(3)]
+        first, second = ([line() for _ in range(4)] + passage + [line() for _ in range(4)] for _ in range(2))
+        held = {tuple(first[at : at + n]) for at, n in lines.chunks(first)}
+        gone = {k for at, n in lines.chunks(second) if tuple(second[at : at + n]) in held for k in range(at, at + n)}
+        found += gone == {4, 5, 6}
+        covered = Counter(k for at, n in lines.chunks(second) for k in range(at, at + n))
+        assert max(covered.values()) <= 2 and not gone - {4, 5, 6}
+    assert found > 400
+    assert lines.chunks([b""] * 1000 + [b"a"] + [b" "] * 1000) == [] and lines.chunks([b"one line"]) == []
+
+
 def test_quality_rules(docs, empty):
     out = quality_rules.quality_rules(docs).collect()
     want = Counter()
