@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from doclumen import fixed_values as fv
+from doclumen.functions.matching import with_spaces
 
 
 def _alias_table() -> Column:
@@ -22,7 +23,7 @@ def _alias_table() -> Column:
 
 def meaningful_words(text: Column) -> Column:
     words = F.transform(
-        F.split(F.lower(text), r"(?U)\s+"),
+        F.split(F.lower(text), with_spaces(r"(?U)\s+")),
         lambda w: F.btrim(w, F.lit(fv.WORD_PUNCTUATION)),
     )
     return F.filter(

@@ -22,6 +22,7 @@ from doclumen.functions.matching import (
     first_group,
     has_match,
     match_rows,
+    with_spaces,
     strip_whitespace,
 )
 from doclumen.functions.terms import kebab
@@ -118,7 +119,7 @@ def typer_commands(path: Column, content: Column) -> tuple[Column, Column]:
         return _row(m["0"], name, "typer")
 
     def commands_of(app: Column) -> Column:
-        regex = F.concat(F.lit("@"), app, F.lit(fv.TYPER_COMMAND_AFTER_APP))
+        regex = F.concat(F.lit("@"), app, F.lit(with_spaces(fv.TYPER_COMMAND_AFTER_APP)))
         return F.transform(match_rows(content, regex, 1, fv.TYPER_LOOKAHEAD), command)
 
     apps = extract_all(content, fv.TYPER_APP)
@@ -133,7 +134,9 @@ def fire_commands(path: Column, content: Column) -> tuple[Column, Column]:
         is_class = has_match(
             content,
             F.concat(
-                F.lit(fv.FIRE_CLASS_BEFORE_TARGET), target, F.lit(fv.FIRE_CLASS_AFTER_TARGET)
+                F.lit(with_spaces(fv.FIRE_CLASS_BEFORE_TARGET)),
+                target,
+                F.lit(with_spaces(fv.FIRE_CLASS_AFTER_TARGET)),
             ),
         )
         methods = F.filter(

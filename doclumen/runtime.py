@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,27 +12,25 @@ BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 64_000_000
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if configured is None and context.master.startswith("local"):
-        configured = tempfile.mkdtemp(prefix="doclumen-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if configured is not None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder in the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/doclumen-intermediate"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, for plans that read it more than once.
 
-    A reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``
-    survives lost executors without redoing the extraction behind it.  A cluster
-    that names no such folder gets a disk-backed cache, which keeps its lineage.
+    It is written as Parquet in the shared folder and read back: readers take only the
+    columns they need and push their filters to the scan, lost executors cost nothing
+    that was written, and the lineage ends.  The files go when the application ends.
     """
-    if _checkpoint_dir(df.sparkSession) is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -149,3 +149,8 @@ def test_copies_do_not_crowd_out_or_lose_documents(spark, make_files):
         assert [s["path"] for s in row["sources"]] == ["docs/a.md"] + [
             f"docs/copy{i}.md" for i in (29, 28, 27, 26)
         ]
+
+
+def test_words_part_where_python_parts_them(spark):
+    asked = spark.createDataFrame([("zebra\x1fgiraffe\x1cwalrus",)], "t string")
+    assert asked.select(topic_keywords(F.col("t"))).first()[0] == ["zebra", "giraffe", "walrus"]

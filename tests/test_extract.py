@@ -233,3 +233,16 @@ def test_paths_that_are_left_out(make_files):
 def test_root_prefix_is_tested_like_part_of_the_path(make_files):
     files = make_files({"ok.py": "add_parser('x')"})
     assert x.raw_features(files, ("cli",), root_prefix="/home/build/").count() == 0
+
+
+def test_names_keep_marks_and_pythons_white_space_parts(make_files):
+    """Noncharacters in names come back as they were; U+001C to U+001F are white space."""
+    marks = "".join(map(chr, range(0xFDD0, 0xFDD3)))
+    names = [f"a{marks}b", f"a{marks}\ufdd3b", f"\ufdd1x\ufdd6{marks}"]
+    source = "".join(f'add_parser("{name}")\n' for name in names) + 'add_parser\x1f(\x1c"z")\n'
+    source += "t\x1d=\x1etyper.Typer()\n@t.command\x1f('tt')\ndef f():\n    pass\n"
+    files = make_files({"m.py": "# é\n" + source, "n.py": 'add_parser\x1d("z")\n'})
+    found = x.cli_commands(x.raw_features(files)).where("framework <> 'click'").orderBy("path", "line").collect()
+    assert [(r.path, r.line, r.name) for r in found] == [
+        *(("m.py", i, name) for i, name in enumerate([*names, "z"], 2)), ("m.py", 7, "tt"), ("n.py", 1, "z"),
+    ]

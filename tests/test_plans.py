@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from doclumen.operators import coverage as cov
 from doclumen.operators import extract, occurrences, symbols
+from doclumen.runtime import materialize
 from doclumen.sources import docs
 
 
@@ -55,3 +56,11 @@ def test_symbols_do_not_carry_or_shuffle_contents(landed):
     plan = physical(symbols.symbols(landed))
     scan = plan[plan.index("MapInArrow") :]
     assert "BroadcastHashJoin" in scan and "hashpartitioning" not in scan
+
+
+def test_materialised_tables_are_scanned_with_pruned_columns_and_filters(landed):
+    again = materialize(landed)
+    names = physical(again.select("project").distinct())
+    assert "FileScan parquet" in names and "content" not in names
+    wanted = physical(docs.coverage_docs(again).select("path"))
+    assert "StringStartsWith(path,docs/)" in wanted and "content" not in wanted

@@ -284,13 +284,23 @@ _WORDS = f"""
     FROM <documents> d LEFT JOIN <labels> l ON d.doc_id = l.doc_id
 """
 
-SOURCE_FILES = f"""
-    SELECT project, {_PATH} AS path,
+_SOURCES = f"""
+    SELECT doc_id, project, {_PATH} AS path,
         '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10)
         || {_BROKEN} || {_CONTENT} AS content
     FROM (SELECT *, upper(w1) AS u1, upper(w2) AS u2, upper(w3) AS u3 FROM ({_WORDS}) words) named
 """
 
+SOURCE_FILES = f"SELECT project, path, content FROM ({_SOURCES}) sources"
+
+# Some projects document their own code, in whole or in part: all, four fifths and so on.
+API_DOC_FILES = f"""
+    SELECT project, 'docs/api/' || cast(doc_id AS string) || '.rst' AS path, content
+    FROM ({_SOURCES}) sources
+    WHERE doc_id % 10 < CASE cast(replace(project, 'src', '') AS int) % 7
+        WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 6 WHEN 3 THEN 4 WHEN 4 THEN 2 ELSE 0 END
+"""
+
 # Package markers of every project, in the layout its number selects.
 _BASES = f"(SELECT DISTINCT d.source AS project, {_BASE} AS base FROM <documents> d) bases"
 LAYOUT_FILES = f"""
@@ -321,6 +331,11 @@ DOC_FILES = f"""
     FROM ({_WORDS}) words
 """
 
+README_FILES = f"""
+    SELECT project, 'README.md' AS path, '# ' || project || chr(10) || min_by(text, doc_id) AS content
+    FROM ({_WORDS}) words GROUP BY project
+"""
+
 # Conversations as Markdown: a file per turn, every line below a header of its own.
 CHAT_FILES = """
     SELECT 'src' || cast(conv_id % 20 AS string) AS project,
@@ -329,15 +344,29 @@ CHAT_FILES = """
     FROM <conversations>
 """
 
+# A project with documents and without any feature.
+TALK_FILES = """
+    SELECT 'talk' AS project, 'docs/' || cast(conv_id AS string) || '-' || cast(turn AS string) || '.md' AS path,
+        '# ' || role || chr(10) || text AS content
+    FROM <conversations>
+"""
+
 CODE_FILES = f"{SOURCE_FILES} UNION ALL {LAYOUT_FILES}"
-FILES = f"{SOURCE_FILES} UNION ALL {LAYOUT_FILES} UNION ALL {DOC_FILES} UNION ALL {CHAT_FILES}"
+FILES = " UNION ALL ".join(
+    [SOURCE_FILES, LAYOUT_FILES, DOC_FILES, API_DOC_FILES, README_FILES, CHAT_FILES, TALK_FILES]
+)
 
-# A query per benchmark item: its text as a topic or a question, or a fixed topic.
+# A query per benchmark item: its text as a topic, a question or both; and fixed topics besides.
 QUERIES = """
     SELECT item_id AS query_id, 'src' || cast(item_id % 21 AS string) AS project,
-        CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN CASE item_id % 4 WHEN 0 THEN 'auth'
-            WHEN 1 THEN 'rest api' WHEN 2 THEN 'zzz qqq' ELSE 'Testing: how to install?' END END AS topic,
-        CASE item_id % 3 WHEN 1 THEN NULL ELSE text END AS question
+        CASE WHEN item_id % 3 < 2 THEN text END AS topic,
+        CASE WHEN item_id % 3 <> 1 THEN text END AS question
+    FROM <benchmark>
+    UNION ALL
+    SELECT -1 - item_id, 'src' || cast(item_id % 21 AS string),
+        CASE item_id % 4 WHEN 0 THEN 'auth' WHEN 1 THEN 'rest api' WHEN 2 THEN 'zzz qqq'
+            ELSE 'Testing: how to install?' END,
+        NULL
     FROM <benchmark>
 """
 

@@ -212,8 +212,9 @@ _TOTALS = """SELECT p.project, coalesce(sum(total), 0)::BIGINT AS total_features
     sum(documented) / sum(total) AS covered
     FROM projects p LEFT JOIN categories c ON p.project = c.project GROUP BY p.project"""
 
-_ASSESSED = f"""SELECT project, coalesce(least(0.95::DOUBLE, covered * 1.1::DOUBLE), 0.0::DOUBLE) AS know,
-    coalesce(greatest(0.05::DOUBLE, 1.0::DOUBLE - covered), 1.0::DOUBLE) AS uncertainty,
+_ASSESSED = f"""SELECT project,
+    CASE WHEN covered IS NULL THEN 0.0::DOUBLE ELSE least(0.95::DOUBLE, covered * 1.1::DOUBLE) END AS know,
+    CASE WHEN covered IS NULL THEN 1.0::DOUBLE ELSE greatest(0.05::DOUBLE, 1.0::DOUBLE - covered) END AS uncertainty,
     coalesce(covered, 0.0::DOUBLE) AS overall_coverage, total_features, documented_features,
     CASE WHEN covered IS NULL THEN 'No features discovered'
         WHEN covered >= 0.80 THEN 'Documentation is comprehensive'
