@@ -5,6 +5,11 @@ RADIUS + 1 bits is drawn for each bit place; for each of the 2 ** (RADIUS + 1) -
 vectors v, the mask of table v has the places whose vector has an odd inner product
 with v.  Up to RADIUS differing places span too little to meet every v, so two linked
 fingerprints agree under at least one mask: no link is missed.
+
+``deduplicated`` does not use these constants.  It links texts whose sets of
+``DEDUP_SHINGLE`` words have a Jaccard similarity of ``DEDUP_SIMILARITY`` or more: covering
+masks for radius ``PART_RADIUS`` on each of the ``PARTS`` parts of a longer fingerprint find
+candidates, and only compared sets link.
 """
 
 from __future__ import annotations
@@ -26,6 +31,19 @@ RADIUS = 3
 BLOCK = 1024
 UNPACKED = 16_384
 
+DEDUP_SHINGLE = 5
+DEDUP_SIMILARITY = 0.8
+#: Sets at similarity 0.8 differ in 15 % of the places, so one of the masks of a part agrees in
+#: 18 % of the parts, and in at least one part for 99 % of such pairs.
+PARTS = 24
+PART_BITS = 24
+PART_RADIUS = 1
+#: A candidate differs in so many of the first 128 places at most: 20 are expected at 0.8, with a deviation of 4.
+CHECK_RADIUS = 34
+#: Sets of a block that are compared at once.
+SET_BLOCK = 256
+SET_ROWS = 200
+
 
 def masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
     """The covering masks, each with about half of the 64 bits, as unsigned numbers."""
@@ -124,19 +142,183 @@ def simhash(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``DEDUP_SHINGLE`` words; a shorter text is one run, one without words has none."""
+    from xxhash import xxh64_intdigest as digest
+
+    found = text.lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    if len(found) < DEDUP_SHINGLE:
+        return np.array([digest(b" ".join(found), SEED)], np.uint64)
+    runs = zip(*(found[k:] for k in range(DEDUP_SHINGLE)))
+    return np.unique(np.fromiter((digest(b" ".join(r), SEED) for r in runs), np.uint64, len(found) - DEDUP_SHINGLE + 1))
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``PARTS * PART_BITS`` bits over a set of hashes, as bytes."""
+    n = PARTS * PART_BITS // 64
+    turns = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * n, np.int64)
+    for at in range(0, len(hashes), UNPACKED):
+        mixed = hashes[at : at + UNPACKED, None] + turns
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((mixed ^ (mixed >> np.uint64(31))).view(np.uint8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes))
+
+
+def part_keys(fps: np.ndarray) -> np.ndarray:
+    """For rows of fingerprint bytes one key for each part and covering mask; equal keys are of the same part and mask.
+
+    A part's places are dealt evenly to the nonzero vectors, so that a mask has two thirds of them.
+    """
+    vectors = np.arange(PART_BITS) % (2 ** (PART_RADIUS + 1) - 1) + 1
+    bits = np.unpackbits(fps, axis=1).reshape(len(fps), PARTS, PART_BITS).astype(np.int64)
+    keys = []
+    for v in range(1, 2 ** (PART_RADIUS + 1)):
+        places = [i for i, m in enumerate(vectors.tolist()) if (m & v).bit_count() % 2]
+        keys.append(bits[:, :, places] @ (1 << np.arange(len(places))) + (np.arange(PARTS) * 2 ** (PART_RADIUS + 1) + v << PART_BITS))
+    return np.concatenate(keys, axis=1)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh3_128_digest as digest
+
+    for batch in batches:
+        sets = [shingle_set(t.as_py() or b"") for t in batch.column("body")]
+        keys = pa.array([digest(s.tobytes()) for s in sets], pa.binary())
+        fps = pa.array([long_fingerprint(s).tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("_id"), keys, fps], names=["_uid", "_id", "_key", "fp"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key of each fingerprint, with its first 128 bits."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        keys = part_keys(fps)
+        check = np.ascontiguousarray(fps[:, :16]).view(np.int64)
+        each = np.repeat(np.arange(len(fps)), keys.shape[1])
+        node = batch.column("node").to_numpy()
+        arrays = [keys.ravel(), node[each], check[each, 0], check[each, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["k", "node", "c0", "c1"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the candidate pairs in each group, like ``_linked``."""
+    for table, starts in whole_groups(batches, ["k", "_i", "_j"]):
+        node = table.column("node").to_numpy()
+        c0, c1 = (table.column(c).to_numpy().view(np.uint64) for c in ("c0", "c1"))
+        block = table.column("_b").to_numpy()
+        cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
+        n = len(node)
+        ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+        at = np.arange(n)
+        a, b, held, step = [], [], 0, 1
+        root = at
+        while len(at := at[at + step < ends[at]]):
+            other = at + step
+            near = np.bitwise_count(c0[at] ^ c0[other]).astype(np.int16) + np.bitwise_count(c1[at] ^ c1[other]) <= CHECK_RADIUS
+            near &= ~cross[at] | (block[at] != block[other])
+            a.append(at[near])
+            b.append(other[near])
+            held += int(near.sum())
+            if held > 1_000_000:
+                root = forest(np.concatenate([*a, np.arange(n)]), np.concatenate([*b, root]), n)
+                a, b, held = [], [], 0
+            step += 1
+        root = forest(np.concatenate([*a, np.arange(n)]), np.concatenate([*b, root]), n)
+        moved = np.flatnonzero(root != np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have ``DEDUP_SIMILARITY`` or more."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or len(small) < DEDUP_SIMILARITY * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return both >= DEDUP_SIMILARITY * (len(x) + len(y) - both)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs in each group whose sets are similar."""
+    for table, starts in whole_groups(batches, ["component", "_i", "_j"]):
+        node, block = (table.column(c).to_numpy() for c in ("node", "_b"))
+        c0, c1 = (table.column(c).to_numpy().view(np.uint64) for c in ("c0", "c1"))
+        cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
+        a, b = [], []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
+            sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("hashes").slice(start, end - start)]
+            size = np.array([len(s) for s in sets])
+            here, d0, d1 = block[start:end], c0[start:end], c1[start:end]
+            root = np.arange(end - start)
+            for i in range(end - start - 1):
+                rest = slice(i + 1, None)
+                near = np.bitwise_count(d0[i] ^ d0[rest]).astype(np.int16) + np.bitwise_count(d1[i] ^ d1[rest]) <= CHECK_RADIUS
+                near &= np.minimum(size[i], size[rest]) >= DEDUP_SIMILARITY * np.maximum(size[i], size[rest])
+                if cross[start]:
+                    near &= here[i] != here[rest]
+                for j in (np.flatnonzero(near) + i + 1).tolist():
+                    if root[i] != root[j] and _similar(sets[i], sets[j]):
+                        root[root == root[j]] = root[i]
+                        a.append(node[start + i])
+                        b.append(node[start + j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = pa.array([shingle_set(t.as_py() or b"").tobytes() for t in batch.column("body")], pa.binary())
+        fps = batch.column("fp").to_pylist()
+        check = np.frombuffer(b"".join(f[:16] for f in fps), np.int64).reshape(-1, 2)
+        arrays = [batch.column("component"), batch.column("node"), pa.array(check[:, 0]), pa.array(check[:, 1]), hashes]
+        yield pa.RecordBatch.from_arrays(arrays, names=["component", "node", "c0", "c1", "hashes"])
+
+
+def similar_sets(sets: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``a, b`` over ``sets(node, fp)``: enough links to connect all that are similar.
+
+    ``bodies(_uid, body)`` has the text of each node.  What candidates connect is compared
+    set by set, so that a set goes to a few groups and not to one for each key.
+    """
+    rows = sets.select("node", "fp").mapInArrow(_keyed, "k long, node long, c0 long, c1 long")
+    hot = land(rows.groupBy("k").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK), release=True)
+    rows = rows.join(hot, "k", "left")
+    rows = rows.withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / BLOCK), F.lit(1)).cast("int")).drop("_n")
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumn("_i", F.least("_b", "_other")).withColumn("_j", F.greatest("_b", "_other")).drop("_blocks", "_other")
+    rows = rows.repartition("k", "_i", "_j").sortWithinPartitions("k", "_i", "_j", "_b")
+    candidates = components(land(rows.mapInArrow(_candidates, "a long, b long").distinct(), release=True))
+    found = land(sets.join(candidates, sets["node"] == candidates["node"]).select("component", sets["node"], "fp"))
+    found = found.join(bodies, F.col("node") == F.col("_uid")).select("component", "node", "fp", "body")
+    found = land(found.mapInArrow(_sets, "component long, node long, c0 long, c1 long, hashes binary"), batch_rows=SET_ROWS)
+    pairs = blocked(found, ["component"], "node", SET_BLOCK).mapInArrow(_compared, "a long, b long")
+    return land(pairs, release=True, batch_rows=SET_ROWS)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest ``doc_id``.
+    """``docs`` with one row of each group of near-duplicates: the one with its smallest ``doc_id``.
 
-    Rows that share that id, or that have none, are told apart by their place in ``docs``;
-    exactly one stays.
+    Groups are what links of similar sets connect; texts without words are alike.  Rows that
+    share that id, or that have none, are told apart by their place in ``docs``; exactly one
+    stays.
     """
     kept = [F.col(c).alias(f"_col_{i}") for i, c in enumerate(docs.columns)]
     place = {c: f"_col_{i}" for i, c in enumerate(docs.columns)}
     base = land(docs.select(F.monotonically_increasing_id().alias("_uid"), *kept), release=True)
-    found = simhash(base.select(F.col("_uid").alias("doc_id"), F.col(place["text"]).alias("text")))
-    ids = found.select(F.col("doc_id").alias("_uid"), F.col("component_id").alias("_component"))
-    ids = ids.join(base.select("_uid", F.col(place["doc_id"]).alias("_id")), "_uid")
-    best = ids.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid")).alias("_best"))
-    stay = best.select(F.col("_best._uid").alias("_of"))
+    body = F.col(place["text"]).cast("binary").alias("body")
+    texts = base.select("_uid", F.col(place["doc_id"]).cast("long").alias("_id"), body)
+    sketches = land(texts.mapInArrow(_sketched, "_uid long, _id long, _key binary, fp binary"))
+    best = F.min(F.struct(F.col("_id").isNull().alias("_missing"), "_id", "_uid")).alias("_best")
+    sets = land(sketches.groupBy("_key").agg(best, F.min("fp").alias("fp")).select(F.col("_best._uid").alias("node"), "_best", "fp"))
+    found = components(similar_sets(sets, base.select("_uid", body)))
+    roots = sets.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "_best")
+    stay = land(roots.groupBy("component").agg(F.min("_best").alias("_best")).select(F.col("_best._uid").alias("_of")))
     out = base.join(stay, F.col("_uid") == F.col("_of"), "left_semi")
     return out.select(*(F.col(f"_col_{i}").alias(c) for i, c in enumerate(docs.columns)))

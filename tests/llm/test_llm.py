@@ -110,6 +110,55 @@ def test_masks_cover_every_small_difference():
         assert any(all(not m >> p & 1 for p in places) for m in masks)
 
 
+def brute_similar(texts):
+    """Where each text's group by five-word Jaccard similarity of 0.8 or more starts."""
+    found = [WORDS.findall((t or "").lower()) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()} for w in found]
+    return reach(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+def near_copies(n=40, copies=4):
+    """Texts of 60 to 400 words, each with copies in which every fortieth word or so differs."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for at in range(n):
+        words = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        texts.append(" ".join(words))
+        for c in range(copies):
+            copy = list(words)
+            for place in range(int(rng.integers(0, 40)), len(copy), 60):
+                copy[place] = f"new{at}x{c}x{place}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("block", [simhash.SET_BLOCK, 2])
+def test_near_copies_at_similarity_go(spark, monkeypatch, block):
+    """Most of these copies differ in more than three bits of a 64-bit fingerprint."""
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    texts = near_copies()
+    of = brute_similar(texts)
+    fps = [brute_fingerprint(t) for t in texts]
+    apart = len(set(reach(len(texts), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)))
+    assert apart > 2 * len(set(of))
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    first = {of.index(x) for x in set(of)}
+    assert first <= {r.doc_id for r in kept} and len(kept) <= len(first) + 2
+
+
+def test_parts_of_fingerprints_find_sets_at_the_limit():
+    rng = np.random.default_rng(3)
+    hit, n = 0, 300
+    for _ in range(n):
+        every = rng.integers(0, 2**63, 900).astype(np.uint64)
+        one, two = np.sort(every[:810]), np.sort(every[90:])  # 720 of 900 in common
+        fps = np.stack([simhash.long_fingerprint(one), simhash.long_fingerprint(two)])
+        keys = simhash.part_keys(fps)
+        hit += bool((keys[0] == keys[1]).any()) and np.bitwise_count(fps[0, :16] ^ fps[1, :16]).sum() <= simhash.CHECK_RADIUS
+        assert simhash._similar(one, two) and not simhash._similar(one[one != np.intersect1d(one, two)[0]], two)
+    assert hit >= 0.97 * n
+
+
 def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 4)
     fps = [(1 << i) | (1 << 40) for i in range(30)] + [0x5555 << 30]
