@@ -441,7 +441,8 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = found.groupBy("th").agg(F.collect_list("recurring").alias("recurring"))
     owners = base.filter(~F.col("copy")).select("ord", "th").distinct()
     wanted = land(owners.join(wanted, "th"), release=True)
-    around = texts.join(wanted, ["ord", "th"]).mapInArrow(
+    # Rows alike in id order and text are no copies of each other; one stands for all of them.
+    around = texts.join(wanted, ["ord", "th"]).dropDuplicates(["ord", "th"]).mapInArrow(
         _around(buckets), "ord long, th long, anchor long, h long, stretch binary, start int"
     )
     around = land(around, release=True)
@@ -465,5 +466,5 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = marks.filter((F.col("ord") > F.col("first")) | F.col("windows").isNotNull()).select("ord", "th", mark)
     marks = land(marks.groupBy("ord", "th").agg(F.collect_list("mark").alias("marks")), release=True)
     drop(around)
-    cleaned = texts.join(marks, ["ord", "th"]).mapInArrow(_cleaned, "ord long, th long, n_removed long, n_spans long, kept binary")
+    cleaned = texts.join(marks, ["ord", "th"]).dropDuplicates(["ord", "th"]).mapInArrow(_cleaned, "ord long, th long, n_removed long, n_spans long, kept binary")
     return base, cleaned

@@ -14,7 +14,7 @@ from doclumen.llm import embedding_dedup as emb
 from doclumen.llm import line_dedup as lines
 from doclumen.llm import mixing, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 from doclumen.llm import substring_dedup as subs
-from doclumen.llm.common import components
+from doclumen.llm.common import components, land
 
 # Extra columns have the names that operators use themselves.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, fp long, _uid long, ord long, kept string"
@@ -196,6 +196,25 @@ def test_substrings(docs, empty, monkeypatch, many):
         assert subs.substring_digests(empty).count() == 0
 
 
+def test_repeated_rows_have_one_list_of_stretches(spark, monkeypatch):
+    counts = []
+
+    def counted(df, *args, **kwargs):
+        out = land(df, *args, **kwargs)
+        if {"stretch", "start"} <= set(out.columns):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(subs, "land", counted)
+    shared = " ".join(f"word{k}" for k in range(30))
+    once = [(1, "first " + shared), (2, "second " + shared), (None, "third " + shared)]
+    for times in (1, 20):
+        out = subs.substring_digests(spark.createDataFrame(once * times, "doc_id long, text string")).collect()
+        want = Counter((w[0], w[2]) for w in brute_substrings(once * times))
+        assert Counter((r.doc_id, r.n_removed) for r in out) == want
+    assert counts[0] == counts[1] > 0
+
+
 def test_run_length_index_inverts_its_strings():
     strings = [b"abracadabra" * 6, b"x" + b"abracadabra" * 6, b"\x00\xff" * 30, b"abracadabra" * 6]
     lengths = np.array([len(s) for s in strings])
