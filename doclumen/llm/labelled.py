@@ -23,13 +23,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = LABELLED_
     """``text, label`` (0 or 1) of at most ``rows`` labelled documents outside the held-out fold.
 
     Labels that are null or contradict each other do not count.  The chosen ids are
-    bounded by ``rows`` and so may be broadcast.
+    bounded by ``rows`` and so may be broadcast; an id that documents repeat counts once,
+    with the least of its texts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy(F.col("doc_id").alias("_of")).agg(F.min(label).alias("label"), F.max(label).alias("_most"))
     one = one.filter("label = _most").drop("_most")
     chosen = one.orderBy(F.xxhash64("_of"), "_of").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_of")).select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_of"))
+    return found.groupBy("_of").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
 
 
 def featured(docs: DataFrame, features: Callable[[str], list[float]]) -> tuple[np.ndarray, np.ndarray]:

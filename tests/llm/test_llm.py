@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from doclumen.llm import embedding_dedup as emb
+from doclumen.llm import labelled
 from doclumen.llm import line_dedup as lines
 from doclumen.llm import mixing, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 from doclumen.llm import substring_dedup as subs
@@ -387,6 +388,16 @@ def test_classifiers_on_held_out_rows(spark, docs, empty, classify, label):
     assert classify(docs, few.limit(0)).count() == len(rows()) and classify(empty, few).count() == 0
 
 
+def test_repeated_ids_count_once_in_samples(spark):
+    table = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(7, f"more {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    want = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))
+    got = labelled.sample(table, labels, "toxic").collect()
+    assert len(got) == want and zlib.crc32(b"7") % 5
+    assert [(r.text, r.label) for r in got if r.text.startswith("more")] == [("more 0", 1)]
+    assert labelled.sample(table, labels, "toxic", rows=5).count() == 5
+
+
 def test_isotonic_rises():
     at, level = toxicity.isotonic(np.array([3.0, 1.0, 2.0, 2.0, 5.0]), np.array([0, 0, 1, 0, 1]))
     assert (np.diff(level) > 0).all() and (np.diff(at) > 0).all() and level[0] == 0 and level[-1] == 1
