@@ -38,7 +38,8 @@ SECOND_PERSON = frozenset(
 )
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A letter, then digits or signs that stand for letters, then a letter; or letters parted one by one.
-OBFUSCATED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|]+[^\W\d_]+)+|\b[^\W\d_](?:[.\-_*][^\W\d_]){2,}\b")
+#: A run of letters is tried from its start only and never given back, so a long word costs its length.
+OBFUSCATED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!|]++[^\W\d_]++)++|\b[^\W\d_](?:[.\-_*][^\W\d_]){2,}\b")
 STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
 
 
@@ -221,7 +222,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic, columns and texts as they are."""
+    """``docs`` without the rows that are predicted toxic, columns and texts as they are.
+
+    Null and empty texts are judged as empty ones, equal texts alike, repeated rows stay or go
+    together; an empty table, and labels that cannot be learned from, leave ``docs`` as it is
+    (unless nearly all labels say toxic: then the constant score decides).
+    """
     model = ToxicityModel(docs, labels)
     measure, score = features(model.lexicon), model.scorer()
     place = docs.columns.index("text")
