@@ -95,4 +95,45 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """
 
-ORACLES = {"op3_substring_dedup": OP3, "op6_embedding_dedup": OP6, "op10_quality_rules": OP10}
+OP13 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents
+),
+tokens AS (
+  SELECT doc, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM words, unnest(found) AS u(t)
+),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM words),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+every AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, coalesce(t.total, 0) AS total, k.n AS lang_n, l.total AS lang_total, l.v
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+),
+shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5))::HUGEINT // (total + 5 * v)::HUGEINT AS p,
+    1 + (1000000000 * (lang_n + 5))::HUGEINT // (lang_total + 5 * v)::HUGEINT AS q
+  FROM every
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+each AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM each)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op13_source_divergence": OP13, "op3_substring_dedup": OP3, "op6_embedding_dedup": OP6, "op10_quality_rules": OP10}

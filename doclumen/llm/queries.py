@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclumen.llm.divergence import divergence
 from doclumen.llm.embedding_dedup import embedding_dedup
 from doclumen.llm.line_dedup import line_dedup
 from doclumen.llm.mixing import mix
@@ -69,10 +70,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_kd_sharding, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_quality_classifier,
         op6_embedding_dedup, op7_toxicity, op8_mixing, op9_packing, op10_quality_rules,
+        op13_source_divergence,
     )
 }
