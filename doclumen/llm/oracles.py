@@ -95,6 +95,51 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """
 
+OP11 = r"""
+WITH own AS (
+  SELECT conv_id AS c, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS digest, octet_length(encode(coalesce(text, ''))) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+lengths AS (SELECT c, max(i) AS n FROM own GROUP BY c),
+steps AS (  -- each byte of the decimal id, and eight steps of one bit after it
+  SELECT c, n, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS s
+  FROM lengths
+),
+convs AS (
+  SELECT c, n, c - c % 5 AS base,
+    xor(list_reduce(s, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h
+  FROM steps
+),
+taken AS (SELECT v.*, least(h, coalesce(b.n, 0)) AS t FROM convs v LEFT JOIN lengths b ON b.c = v.base),
+rebuilt AS (
+  SELECT v.c, o.i AS d, o.digest, o.bytes FROM taken v JOIN own o ON o.c = v.base AND o.i <= v.t
+  UNION ALL
+  SELECT v.c, v.t + o.i - v.h, o.digest, o.bytes FROM taken v JOIN own o ON o.c = v.c AND o.i > v.h
+),
+chains AS (
+  SELECT c, d, bytes, string_agg(digest, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM rebuilt
+  UNION ALL
+  SELECT c, 0, 0, '' FROM lengths
+),
+nodes AS (SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM chains GROUP BY path),
+kin AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND left(k.path, 32 * n.depth::INT) = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1)::INT)
+),
+sums AS (  -- what hangs below a node: nodes whose smallest member goes through it
+  SELECT a.path, sum((k.n_children = 0)::INT) AS n_leaves, sum((k.n_convs - 1) * k.bytes) AS saved
+  FROM kin k JOIN chains a ON a.c = k.conv_id AND a.d <= k.depth GROUP BY a.path
+),
+ends AS (
+  SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+  FROM (SELECT *, max(d) OVER (PARTITION BY c) AS size FROM chains) WHERE d = size GROUP BY path
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM kin JOIN sums USING (path) LEFT JOIN ends USING (path)
+"""
+
 OP13 = r"""
 WITH words AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -136,4 +181,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
-ORACLES = {"op13_source_divergence": OP13, "op3_substring_dedup": OP3, "op6_embedding_dedup": OP6, "op10_quality_rules": OP10}
+ORACLES = {"op11_prefix_trie": OP11, "op13_source_divergence": OP13, "op3_substring_dedup": OP3, "op6_embedding_dedup": OP6, "op10_quality_rules": OP10}
