@@ -12,6 +12,7 @@ from doclumen.llm.embedding_dedup import embedding_dedup
 from doclumen.llm.line_dedup import line_dedup
 from doclumen.llm.mixing import mix
 from doclumen.llm.packing import pack_documents
+from doclumen.llm.personal_data import personal_data
 from doclumen.llm.prefix_trie import prefix_trie
 from doclumen.llm.quality_classifier import quality
 from doclumen.llm.quality_rules import quality_rules
@@ -75,6 +76,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_read(spark, sf_dir, "documents"))
 
@@ -84,6 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_kd_sharding, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_quality_classifier,
         op6_embedding_dedup, op7_toxicity, op8_mixing, op9_packing, op10_quality_rules,
-        op11_prefix_trie, op13_source_divergence,
+        op11_prefix_trie, op12_personal_data, op13_source_divergence,
     )
 }
