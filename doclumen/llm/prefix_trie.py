@@ -273,6 +273,7 @@ def _rollup(nodes: DataFrame, rows: DataFrame) -> DataFrame:
         F.lit(root).cast("long").alias("top_conv"),
         zero.alias("top_depth"),
     )
+    active = land(active)  # else the first round's joins would have a literal for a key
     top = ["top_conv", "top_depth"]
     places, done, small = None, [], []
     while True:
