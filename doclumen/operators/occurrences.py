@@ -5,16 +5,14 @@ every (pattern, document) pair costs the product of the two.  Each document is
 therefore read once against all patterns of its project together, with a
 multi-pattern automaton inside an Arrow pass; only the occurrences come out.
 
-Two plans give the same rows:
+Three plans give the same rows:
 
 * the patterns' count and bytes are checked first; if they are small they are
   broadcast and the documents stay where they were scanned, without a shuffle;
-* otherwise patterns and documents are merged by a shuffle on
-  ``(project, salt, chunk)`` and sorted so that a group's patterns come before its
-  documents.  The documents then stream past the automaton: neither side of a
-  group is collected.  ``salt`` spreads the documents of a large project over
-  tasks, ``chunk`` bounds the patterns an automaton holds.  Documents are read once,
-or for a project of more than ``PATTERNS_PER_CHUNK`` patterns once per chunk.
+* otherwise the patterns are sent to documents landed in buckets
+  (:mod:`doclumen.operators.colocated`), which stay there for further searches;
+* mentions alone can be looked up by the documents' signatures
+  (:mod:`doclumen.operators.signatures`), so that most documents are not read at all.
 """
 
 from __future__ import annotations
@@ -27,18 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclumen import fixed_values as fv
-from doclumen.runtime import broadcast_if_small, materialize
+from doclumen.operators import colocated
+from doclumen.operators.colocated import ColocatedDocs
+from doclumen.runtime import materialize
 
 #: Largest pattern table that is broadcast.
 BROADCAST_PATTERNS = 200_000
 BROADCAST_CHARS = 16_000_000
-#: Most patterns one automaton holds in the shuffled plan (about 200 MB).
+#: Most patterns one automaton holds where patterns are not broadcast (about 200 MB).
 PATTERNS_PER_CHUNK = 1_000_000
-#: A project is split into groups of this many documents, which is enough to make
-#: the copy of its patterns that every group gets worth its while; more per group
-#: where all documents together would make more than so many groups.
-DOCUMENTS_PER_GROUP = 50_000
-DOCUMENT_GROUPS = 4096
+#: Patterns of one or two characters that are looked up one by one; a text's pairs of
+#: characters are listed for more.
+FEW_SHORT = 16
 
 _MENTION = T.StructType(
     [
@@ -76,25 +74,24 @@ _SCORED_ARROW = pa.schema(
 def _finder(patterns: list[str]) -> Callable[[str], set[str]]:
     """A function giving the patterns that occur in a text.
 
-    Very short patterns would match at almost every position, so they are looked
-    up one by one; there are few distinct ones.
+    Patterns of one or two characters would match at almost every position of the
+    automaton, so they are looked up apart from it.
     """
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {p for p in patterns if p in text}
-    short = [p for p in patterns if len(p) < 3]
+    import ahocorasick
+
+    short = {p for p in patterns if len(p) < 3}
     automaton = ahocorasick.Automaton()
     for p in patterns:
         if len(p) >= 3:
             automaton.add_word(p, p)
-    if len(automaton) == 0:
-        return lambda text: {p for p in short if p in text}
     automaton.make_automaton()
 
     def find(text: str) -> set[str]:
-        found = {p for _, p in automaton.iter(text)}
-        found.update(p for p in short if p in text)
+        found = {p for _, p in automaton.iter(text)} if len(automaton) else set()
+        if len(short) <= FEW_SHORT:
+            found.update(p for p in short if p in text)
+        else:
+            found |= short & {"", *text, *map("".join, zip(text, text[1:]))}
         return found
 
     return find
@@ -140,105 +137,50 @@ def _by_broadcast(patterns: DataFrame, docs: DataFrame, emit, arrow, schema) ->
     return docs.select("project", "path", "text").mapInArrow(scan, schema)
 
 
-def _special_routes(patterns: DataFrame, docs: DataFrame) -> DataFrame:
-    """``project, salts, chunks`` of the projects that need more than one group.
+def _by_buckets(patterns: DataFrame, landed: ColocatedDocs, emit, arrow, schema) -> DataFrame:
+    chunk = PATTERNS_PER_CHUNK
 
-    Fewer than ``DOCUMENT_GROUPS`` projects can hold more documents than a group does,
-    and only one in ``PATTERNS_PER_CHUNK`` patterns starts a second chunk.
-    """
-    doc_counts = materialize(docs.groupBy("project").agg(F.count("*").alias("n")))
-    total = doc_counts.agg(F.sum("n")).first()[0] or 1
-    per_group = max(DOCUMENTS_PER_GROUP, total / DOCUMENT_GROUPS)
-    salts = doc_counts.select(
-        "project",
-        F.ceil(F.col("n") / per_group).cast("int").alias("salts"),
-        F.lit(1).alias("chunks"),
-    )
-    chunks = (
-        patterns.groupBy("project")
-        .agg(F.count("*").alias("n"))
-        .select(
-            "project",
-            F.lit(1).alias("salts"),
-            F.ceil(F.col("n") / PATTERNS_PER_CHUNK).cast("int").alias("chunks"),
-        )
-    )
-    routes = (
-        salts.unionByName(chunks)
-        .where((F.col("salts") > 1) | (F.col("chunks") > 1))
-        .groupBy("project")
-        .agg(F.max("salts").alias("salts"), F.max("chunks").alias("chunks"))
-    )
-    return broadcast_if_small(materialize(routes))
-
-
-def _by_shuffle(patterns: DataFrame, docs: DataFrame, emit, arrow, schema) -> DataFrame:
-    routes = _special_routes(patterns, docs)
-    salts = F.coalesce("salts", F.lit(1))
-    chunks = F.coalesce("chunks", F.lit(1))
-    routed_patterns = patterns.join(routes, "project", "left").select(
-        "project",
-        F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
-        F.pmod(F.xxhash64("pattern"), chunks).cast("int").alias("chunk"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast("string").alias("path"),
-        F.col("pattern").alias("text"),
-    )
-    routed_docs = docs.join(routes, "project", "left").select(
-        "project",
-        F.pmod(F.xxhash64("path"), salts).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"),
-        F.lit(1).alias("kind"),
-        "path",
-        "text",
-    )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = find = None
-        held: list[str] = []
+    def scan(project: str, wanted: list[str], docs: pa.Table) -> list[dict]:
+        rows: list[dict] = []
         seen: set = set()
-        for batch in batches:
-            rows: list[dict] = []
-            for row in batch.to_pylist():
-                key = (row["project"], row["salt"], row["chunk"])
-                if key != group:
-                    group, find, held, seen = key, None, [], set()
-                if row["kind"] == 0:
-                    held.append(row["text"])
-                    continue
-                if find is None:
-                    find = _finder(held)
-                rows += emit(row["project"], row["path"], row["text"], find, seen)
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        for first in range(0, len(wanted), chunk):
+            find = _finder(wanted[first : first + chunk])
+            for path, text in zip(docs.column("path"), docs.column("text")):
+                rows += emit(project, path.as_py(), text.as_py(), find, seen)
+        return rows
 
-    return (
-        routed_patterns.unionByName(routed_docs)
-        .repartition("project", "salt", "chunk")
-        .sortWithinPartitions("project", "salt", "chunk", "kind")
-        .mapInArrow(merge, schema)
-    )
+    return colocated.search(patterns, landed, scan, arrow, schema)
 
 
 def _occurrences(
-    patterns: DataFrame, docs: DataFrame, emit, arrow, schema, join_chunks=lambda df: df
+    patterns: DataFrame,
+    docs: DataFrame | ColocatedDocs,
+    emit,
+    arrow,
+    schema,
+    join_chunks=lambda df: df,
 ) -> DataFrame:
     patterns = materialize(patterns.select("project", "pattern").distinct())
     count, chars = patterns.agg(
         F.count("*"), F.sum(F.length("pattern") + F.length("project"))
     ).first()
     small = count <= BROADCAST_PATTERNS and (chars or 0) <= BROADCAST_CHARS
+    there = docs.docs if isinstance(docs, ColocatedDocs) else docs
     if small:
-        return _by_broadcast(patterns, docs, emit, arrow, schema)
-    return join_chunks(_by_shuffle(patterns, docs, emit, arrow, schema))
+        return _by_broadcast(patterns, there, emit, arrow, schema)
+    landed = docs if isinstance(docs, ColocatedDocs) else colocated.colocate(docs)
+    return join_chunks(_by_buckets(patterns, landed, emit, arrow, schema))
 
 
-def mentioned_patterns(patterns: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct ``project, pattern`` with the pattern in any document of the project."""
+def mentioned_patterns(patterns: DataFrame, docs: DataFrame | ColocatedDocs) -> DataFrame:
+    """Distinct ``project, pattern`` with the pattern in any document of the project.
+
+    Land documents that are searched more than once with :func:`colocated.colocate`.
+    """
     return _occurrences(patterns, docs, _new_mentions, _MENTION_ARROW, _MENTION).distinct()
 
 
-def scored_documents(patterns: DataFrame, docs: DataFrame) -> DataFrame:
+def scored_documents(patterns: DataFrame, docs: DataFrame | ColocatedDocs) -> DataFrame:
     """``project, path, hits`` of the documents that hold a pattern of their project.
 
     ``hits`` lists ``pattern, tenths`` in order of the pattern.

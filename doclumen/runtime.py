@@ -12,12 +12,18 @@ BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 64_000_000
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder in the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     return folder or spark.conf.get("spark.sql.warehouse.dir") + "/doclumen-intermediate"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, for plans that read it more than once.
 
@@ -26,10 +32,9 @@ def materialize(df: DataFrame) -> DataFrame:
     that was written, and the lineage ends.  The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doclumen import fixed_values as fv
 from doclumen.operators import coverage as cov
-from doclumen.operators import occurrences
+from doclumen.operators import colocated, occurrences, signatures
 from doclumen.plans import assess as plan
 from doclumen.plans import sinks
 
@@ -96,10 +96,10 @@ def brute_force(patterns, docs):
 
 @pytest.fixture
 def small_limits(monkeypatch):
-    """Force the shuffled plan, with several salts and chunks for the large project."""
+    """Force the plan with buckets, with several parts and chunks for the large project."""
     monkeypatch.setattr(occurrences, "BROADCAST_PATTERNS", 0)
     monkeypatch.setattr(occurrences, "PATTERNS_PER_CHUNK", 7)
-    monkeypatch.setattr(occurrences, "DOCUMENTS_PER_GROUP", 5)
+    monkeypatch.setattr(colocated, "PART_BYTES", 300)
 
 
 def _random_corpus(seed):
@@ -122,6 +122,62 @@ def test_both_plans_find_what_brute_force_finds(spark, small_limits):
     assert sorted(map(tuple, occurrences.mentioned_patterns(p, d).collect())) == expected
 
 
+def test_documents_landed_in_buckets_are_searched_where_they_are(spark, small_limits):
+    patterns, docs = _random_corpus(3)
+    p = spark.createDataFrame(patterns + [(None, "a")], "project string, pattern string")
+    landed = colocated.colocate(spark.createDataFrame([*docs, (None, "x", "a")], DOC))
+    assert landed.parts.where("parts > 1").count() > 0
+    for _ in range(2):
+        found = occurrences.mentioned_patterns(p, landed)
+        assert sorted(map(tuple, found.collect())) == brute_force(patterns, docs)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        moved = [line for line in plan.splitlines() if "Exchange" in line]
+        assert moved and not any("text" in line for line in moved)
+        scan = next(line for line in plan.splitlines() if "FileScan" in line and "text" in line)
+        assert "Bucketed: true" in scan
+
+@pytest.mark.parametrize("seed", range(3))
+def test_signatures_miss_nothing(spark, seed):
+    """Four letters only: every signature admits patterns that do not occur."""
+    patterns, docs = _random_corpus(seed)
+    patterns = sorted({*patterns, ("hot", "nowhere at all"), ("hot", ""), ("empty", "a")})
+    p = spark.createDataFrame(patterns + [(None, "a")], "project string, pattern string")
+    d = spark.createDataFrame(docs, DOC)
+    found, opened = signatures.mentioned_patterns(p, d, signatures.signature_index(d))
+    assert sorted(map(tuple, found.collect())) == brute_force(patterns, docs)
+    assert opened.count() == opened.distinct().count() <= len(docs)
+
+
+def test_signatures_spare_documents(spark):
+    """Of 300 texts with a vocabulary of 900 words a search for 40 names reads a few."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randint(4, 9))) for _ in range(900)]
+    docs = [("p", f"d{i}", " ".join(rng.choices(words, k=120))) for i in range(300)]
+    patterns = [("p", w) for w in words[:20]] + [("p", f"{w}_missing{i}") for i, w in enumerate(words[20:40])]
+    p = spark.createDataFrame(patterns, "project string, pattern string")
+    d = spark.createDataFrame(docs, DOC)
+    index = signatures.signature_index(d)
+    found, opened = signatures.mentioned_patterns(p, d, index)
+    assert sorted(map(tuple, found.collect())) == brute_force(patterns, docs)
+    assert opened.count() <= 30
+    assert index.agg(F.sum(F.octet_length("signature"))).first()[0] < sum(len(t) for _, _, t in docs) / 2
+
+
+def test_signatures_admit_all_that_occurs(spark):
+    patterns, docs = _random_corpus(5)
+    for project in ("hot", "cold"):
+        wanted = [w for q, w in patterns if q == project]
+        asked = signatures._Patterns(wanted)
+        for q, _, text in docs:
+            held = asked.admitted(signatures.signature(text))
+            assert all(ok or w not in text for ok, w in zip(held, wanted))
+    long = "".join(chr(33 + i % 90) + chr(200 + i % 70) for i in range(20_000))
+    asked = signatures._Patterns([long[i : i + 9] for i in range(0, 20_000, 37)] + ["not in there", "zzz"])
+    held = asked.admitted(signatures.signature(long))
+    assert held[:-2].all() and not held[-2:].any()
+    assert signatures._Patterns(["", "x"]).admitted(signatures.signature("")).tolist() == [True, False]
+
+
 def test_scored_patterns_equal_counting(spark, small_limits):
     patterns, docs = _random_corpus(2)
     docs += [("hot", "x1", "# ab ab ab"), ("hot", "x2", "a" * 40)]

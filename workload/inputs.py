@@ -28,17 +28,35 @@ def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
+#: What the two engines write differently: Spark's way, DuckDB's way.
+_DIFFERS = {
+    "<g>": ("", ", 'g'"),
+    "<words>": (
+        "filter(split(lower(text), '[^a-z]+'), w -> length(w) > 2)",
+        "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) > 2)",
+    ),
+    "<pairs>": (
+        "explode(transform(sequence(1, greatest(size(words) - 1, 1)), i -> get(words, i - 1) || '-' || get(words, i)))",
+        "unnest(list_transform(range(1, len(words)), lambda i: words[i] || '-' || words[i + 1]))",
+    ),
+}
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: _table(spark, sf_dir, t) for t in _TABLES if f"<{t}>" in sql}
     for table in used:
         sql = sql.replace(f"<{table}>", f"{{{table}}}")
-    return spark.sql(sql.replace("<g>", ""), **used)
+    for mark, (here, _) in _DIFFERS.items():
+        sql = sql.replace(mark, here)
+    return spark.sql(sql, **used)
 
 
 def duck_sql(sql: str) -> str:
     for table in _TABLES:
         sql = sql.replace(f"<{table}>", table)
-    return sql.replace("<g>", ", 'g'")
+    for mark, (_, there) in _DIFFERS.items():
+        sql = sql.replace(mark, there)
+    return sql
 
 
 def _text(template: str) -> str:
@@ -351,6 +369,17 @@ TALK_FILES = """
     FROM <conversations>
 """
 
+# Documents as they are, and as terms the pairs of neighbouring words of the project two numbers on.
+PLAIN_TEXTS = "SELECT source AS project, cast(doc_id AS string) AS path, text FROM <documents>"
+WORD_PAIRS = """
+    SELECT DISTINCT 'src' || cast((cast(replace(source, 'src', '') AS int) + 2) % 20 AS string) AS project, pair AS term
+    FROM (
+        SELECT source, <pairs> AS pair
+        FROM (SELECT source, <words> AS words FROM <documents>) split
+    ) paired
+    WHERE pair IS NOT NULL
+"""
+
 CODE_FILES = f"{SOURCE_FILES} UNION ALL {LAYOUT_FILES}"
 FILES = " UNION ALL ".join(
     [SOURCE_FILES, LAYOUT_FILES, DOC_FILES, API_DOC_FILES, README_FILES, CHAT_FILES, TALK_FILES]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclumen.operators import coverage as cov
-from doclumen.operators import extract, skips, symbols
+from doclumen.operators import colocated, extract, signatures, skips, symbols
 from doclumen.plans import assess as plan
 from doclumen.plans import explain as answers
 from doclumen.plans import sinks
@@ -125,7 +125,22 @@ def mention_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     found = materialize(plan.discover(files))
     terms = found.select("project", F.explode("terms").alias("term"))
-    return cov.mentioned_terms(terms, docs.coverage_docs(files))
+    described = docs.coverage_docs(files)
+    return cov.mentioned_terms(terms, described, signatures.signature_index(described))
+
+
+def word_pair_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of another project's pairs of words a project's documents hold.
+
+    There are far more forms than may be broadcast, so they go to the documents' buckets.
+    """
+    texts = inputs.spark_sql(spark, sf_dir, inputs.PLAIN_TEXTS)
+    landed = colocated.colocate(texts.select("project", "path", F.lower("text").alias("text")))
+    terms = materialize(inputs.spark_sql(spark, sf_dir, inputs.WORD_PAIRS))
+    hits = cov.mentioned_terms(terms, landed).withColumn("_hit", F.lit(True))
+    return terms.join(hits, ["project", "term"], "left").groupBy("project").agg(
+        F.count("*").alias("terms"), F.count("_hit").alias("mentioned")
+    )
 
 
 def _coverage(strict: bool) -> Query:
@@ -279,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "key_classes": key_classes,
     "features": features,
     "mention_hits": mention_hits,
+    "word_pair_mentions": word_pair_mentions,
     "category_coverage": _coverage(strict=False),
     "category_coverage_strict": _coverage(strict=True),
     "core_modules": core_modules,
