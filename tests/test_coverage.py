@@ -152,7 +152,7 @@ def test_signatures_spare_documents(spark):
     """Of 300 texts with a vocabulary of 900 words a search for 40 names reads a few."""
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randint(4, 9))) for _ in range(900)]
-    docs = [("p", f"d{i}", " ".join(rng.choices(words, k=120))) for i in range(300)]
+    docs = [("p", f"d{i}", " ".join(rng.choices(words, k=400))) for i in range(300)]
     patterns = [("p", w) for w in words[:20]] + [("p", f"{w}_missing{i}") for i, w in enumerate(words[20:40])]
     p = spark.createDataFrame(patterns, "project string, pattern string")
     d = spark.createDataFrame(docs, DOC)
