@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +13,8 @@ LAST_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="doclumen-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder that driver and executors share; one in the warehouse where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/doclumen-intermediate"
     return folder.rstrip("/")
 
 

@@ -2,7 +2,9 @@
 
 Documents become token ids by a public tokenizer in Arrow passes.  Pieces of full length
 are sequences by themselves.  The others are dealt evenly to groups, and each group is
-packed on its own by bounded-space best-fit in order of falling length.
+packed on its own by bounded-space online best-fit: pieces come in an order without
+meaning, the longest of the next ``AHEAD`` first, and whenever no open bin has room and
+``OPEN_BINS`` are open, the fullest closes.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from doclumen.llm.common import land
 
 SEQUENCE = 2048
 END = b"\0\0\0\0"
-#: Pieces of a group, and bins that are open in it at most.
+#: Pieces of a group, pieces that are known ahead, and bins that are open at most.
 GROUP_PIECES = 16_384
-OPEN_BINS = 8_192
+AHEAD = 1_024
+OPEN_BINS = 256
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 1_000_000
 
@@ -158,8 +161,10 @@ class BestFit:
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     fit, group = BestFit(), TaskContext.get().partitionId()
     for batch in batches:
-        placed = [fit.place(n) for n in batch["length"].tolist()]
-        found = np.array(placed, dtype=np.int64).reshape(-1, 2)
+        lengths, found = batch["length"].to_numpy(), np.zeros((len(batch), 2), np.int64)
+        for first in range(0, len(lengths), AHEAD):
+            order = first + np.argsort(-lengths[first : first + AHEAD], kind="stable")
+            found[order] = [fit.place(n) for n in lengths[order].tolist()]
         batch["sequence_id"] = (np.int64(group) << 32) + found[:, 0]
         batch["offset"] = found[:, 1]
         yield batch
@@ -169,17 +174,22 @@ def pack(pieces: DataFrame) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; extra columns stay.
 
     A sequence is filled without gaps.  An empty table gives an empty result, equal pieces
-    are placed one by one.  Give a landed table: it is read three times.
+    and rows are placed one by one, pieces without an id like any others.  Give a landed table:
+    it is read three times.
     """
     full = pieces.filter(F.col("length") >= SEQUENCE)
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.filter(F.col("length") < SEQUENCE)
     groups = max(1, -(-rest.count() // GROUP_PIECES))
-    dealt = rest.repartition(groups).sortWithinPartitions(F.col("length").desc(), "doc_id", "start")
+    dealt = rest.repartition(groups).sortWithinPartitions(F.xxhash64("doc_id", "start", "ids_crc32"), "doc_id", "start", "length")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema)
     return dealt.mapInPandas(_packed, schema).union(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Tokenise and pack all of ``docs``; columns but ``doc_id`` and ``text`` are not read."""
+    """Tokenise and pack all of ``docs``; columns but ``doc_id`` and ``text`` are not read.
+
+    A null or empty text is one piece, the end mark; repeated rows are packed each; an empty
+    table gives an empty result.
+    """
     return pack(land(tokenized(docs, tokenizer, with_ids), release=True))

@@ -347,6 +347,18 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_is_tight_though_few_bins_are_open(spark, monkeypatch):
+    """Closings happen, and sequences stay within a hundredth of the fewest there can be."""
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 1) for i, n in enumerate(np.random.default_rng(4).integers(1, 1300, 6000))], packing.PIECES)
+    for bins, most in ((packing.OPEN_BINS, 1.01), (8, 1.6)):
+        monkeypatch.setattr(packing, "OPEN_BINS", bins)
+        monkeypatch.setattr(packing.BestFit.__init__, "__defaults__", (packing.SEQUENCE, bins))
+        out = packing.pack(pieces.repartition(3)).toPandas()
+        used, fewest = out.sequence_id.nunique(), -(-out.length.sum() // packing.SEQUENCE)
+        assert len(out) == 6000 and out.groupby("sequence_id").length.sum().max() <= packing.SEQUENCE
+        assert used <= most * fewest and (bins > 8 or used > 1.01 * fewest)
+
+
 @pytest.mark.parametrize("text", ["a <|endoftext|> B", "<|ENDOFTEXT|>.", "don't I'LL é ́a.", "a\x1cb \x85c", "ÈÉ İa ŉ ǅ ſ ½ ª.", "x...y, A.B.", "\x00 �"])
 def test_ids_of_stretches_equal_those_of_the_text(text):
     ids = packing.WordIds(packing.default_tokenizer())
