@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from doclumen.operators import occurrences
 from doclumen.runtime import broadcast_if_small, materialize
 
-#: Bits for each distinct sequence, rounded up to a power of two; a sequence sets one of them,
-#: so one that is absent seems present in at most a fifth of all cases, and a pattern of n
-#: characters in the (n - 2)th power of that.
+#: Bits for each distinct sequence, rounded up to one of four sizes for each power of two; a
+#: sequence sets one of them, so one that is absent seems present in at most a fifth of all cases,
+#: and a pattern of n characters in the (n - 2)th power of that.
 BITS_PER_SEQUENCE = 4
 LEAST_BITS = 256
 
@@ -60,12 +60,14 @@ def pattern_sequences(pattern: str) -> np.ndarray:
 
 def places(sequences: np.ndarray, bits: int) -> np.ndarray:
     mixed = sequences.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return ((mixed >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
 
 
 def signature(text: str) -> bytes:
     found = text_sequences(text)
-    bits = max(LEAST_BITS, 1 << (BITS_PER_SEQUENCE * len(found) - 1).bit_length())
+    bits = max(LEAST_BITS, BITS_PER_SEQUENCE * len(found))
+    step = 1 << (bits.bit_length() - 3)
+    bits = -(-bits // step) * step
     held = np.zeros(bits, bool)
     held[places(found, bits)] = True
     return np.packbits(held).tobytes()
