@@ -20,6 +20,7 @@ from doclumen.functions.topics import (
     topic_keywords,
 )
 from doclumen.operators.occurrences import scored_documents
+from doclumen.operators.ranking import land_postings, top_documents
 from doclumen.runtime import broadcast_if_small, materialize
 from doclumen.sources.docs import explain_docs
 
@@ -48,9 +49,8 @@ def rank_documents(wanted: DataFrame, docs: DataFrame, top: int = fv.TOP_DOCS) -
 
     Scores are integer tenths.  Documents of a project with the same hits, copies above
     all, score the same for every query, so only the ``top`` of them by path can appear
-    in a ranking; the others go before any query meets them.  The queries' words are
-    broadcast if they measure small.  Both rank filters become group limits: a task
-    passes on ``top`` documents per group.
+    in a ranking; the others go before any query meets them.  Of the rest, a query meets
+    those that can reach its last place (:mod:`doclumen.operators.ranking`).
     """
     words = materialize(
         wanted.select("project", "keywords", F.explode("keywords").alias("pattern"))
@@ -61,17 +61,8 @@ def rank_documents(wanted: DataFrame, docs: DataFrame, top: int = fv.TOP_DOCS) -
         scored_documents(words.select("project", "pattern"), low)
         .withColumn("_copy", F.row_number().over(alike))
         .where(F.col("_copy") <= top)
-        .select("project", "path", F.inline("hits"))
-    )
-    order = Window.partitionBy("project", "keywords").orderBy(F.desc("tenths"), F.desc("path"))
-    return (
-        hits.join(broadcast_if_small(words), ["project", "pattern"])
-        .groupBy("project", "keywords", "path")
-        .agg(F.sum("tenths").cast("int").alias("tenths"))
-        .where(F.col("tenths") >= fv.DOC_MIN_TENTHS)
-        .withColumn("doc_rank", F.row_number().over(order))
-        .where(F.col("doc_rank") <= top)
     )
+    return top_documents(words, land_postings(hits), top, fv.DOC_MIN_TENTHS)
 
 
 def rank_sections(
