@@ -309,12 +309,41 @@ def test_findings_are_appended_by_day(spark, make_files, tmp_path):
     reports = plan.assess(make_files({"mini": MINI})).persist()
     for day in ("2026-01-01", "2026-01-02"):
         sinks.append_findings(reports, F.to_date(F.lit(day)), str(tmp_path))
-    found = spark.read.parquet(f"{tmp_path}/findings")
+    found = sinks.read_findings(spark, str(tmp_path))
     assert found.count() == 2
     first = found.where("run_date = '2026-01-01'").collect()[0]
     assert first["finding"] == "Documentation assessment: 62.5% coverage, know=0.69, uncertainty=0.38"
     assert first["impact"] == 0.7
-    assert spark.read.parquet(f"{tmp_path}/unknowns").count() == 6
+    assert sinks.read_findings(spark, str(tmp_path), "unknowns").count() == 6
     sinks.write_json(reports, f"{tmp_path}/json")
     text = spark.read.text(f"{tmp_path}/json").collect()[0][0]
     assert json.loads(text)["epistemic"]["total_features"] == 8
+
+
+def test_runs_that_are_repeated_or_end_early_leave_one_set_of_rows(spark, make_files, tmp_path, monkeypatch):
+    path, day = str(tmp_path), F.to_date(F.lit("2026-01-01"))
+    before = plan.assess(make_files({"mini": MINI})).persist()
+    after = plan.assess(make_files({"mini": MINI, "other": {"m.py": ""}})).persist()
+
+    def seen():
+        return [sorted(map(str, sinks.read_findings(spark, path, n).collect())) for n in ("findings", "unknowns")]
+
+    sinks.append_findings(before, day, path)
+    once = seen()
+    assert [len(rows) for rows in once] == [1, 3]
+    sinks.append_findings(before, day, path)
+    assert seen() == once
+    # The next try ends between the two tables.
+    with monkeypatch.context() as broken:
+        broken.setattr(sinks, "unknowns", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.append_findings(after, day, path)
+    assert seen() == once
+    sinks.append_findings(after, day, path)
+    assert [len(rows) for rows in seen()] == [2, 4]
+    sinks.append_findings(before, day, path, run_id="7")
+    assert [len(rows) for rows in seen()] == [3, 7]
+    assert spark.read.parquet(f"{path}/findings").count() == 7
+    kept = seen()
+    sinks.remove_uncommitted(spark, path)
+    assert seen() == kept and spark.read.parquet(f"{path}/findings").count() == 3
