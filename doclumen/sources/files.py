@@ -1,47 +1,25 @@
 """Project files as a table: ``project, path, content``.
 
 At scale the corpus is a landed Parquet table (:func:`read_table`).
-:func:`scan_trees` lands it from project directories on a shared file system.
+:func:`scan_trees` reads project directories on a shared file system
+(:mod:`doclumen.sources.trees`).
 """
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from doclumen.runtime import materialize
+from doclumen.sources import trees
 
-FILES = T.StructType(
-    [
-        T.StructField("project", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("content", T.StringType()),
-    ]
-)
-_ENTRY = T.StructType(
-    [
-        T.StructField("project", T.StringType()),
-        T.StructField("root", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("is_dir", T.BooleanType()),
-        T.StructField("size", T.LongType()),
-    ]
-)
-_RAW = T.StructType(
-    [
-        T.StructField("project", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
-#: File name endings that any operator reads.
-SUFFIXES = (".py", ".md", ".rst", ".txt", ".toml")
-_SPLIT_BYTES = 64 * 1024 * 1024
+#: Roots whose partitions are planned together on the driver.
+PLANNED_ROOTS = 100_000
 
 
 def normalize_newlines(content: Column) -> Column:
@@ -62,90 +40,30 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return clean(spark.read.format(fmt).load(path).select("project", "path", "content"))
 
 
-def _list_dirs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [
-            ("project", pa.string()),
-            ("root", pa.string()),
-            ("path", pa.string()),
-            ("is_dir", pa.bool_()),
-            ("size", pa.int64()),
-        ]
-    )
-    for batch in batches:
-        for row in batch.to_pylist():
-            found = []
-            try:
-                with os.scandir(os.path.join(row["root"], row["path"])) as listing:
-                    entries = list(listing)
-            except OSError:
-                continue
-            for entry in entries:
-                # A dangling link, or a file removed meanwhile, costs only itself.
-                try:
-                    is_dir = entry.is_dir(follow_symlinks=False)
-                    if not is_dir and not entry.name.endswith(SUFFIXES):
-                        continue
-                    size = 0 if is_dir else entry.stat().st_size
-                except OSError:
-                    continue
-                found.append(
-                    {
-                        "project": row["project"],
-                        "root": row["root"],
-                        "path": os.path.join(row["path"], entry.name),
-                        "is_dir": is_dir,
-                        "size": size,
-                    }
-                )
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema=schema)
-
-
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("project", pa.string()), ("path", pa.string()), ("content", pa.binary())]
-    )
-    for batch in batches:
-        for row in batch.to_pylist():
-            try:
-                with open(os.path.join(row["root"], row["path"]), "rb") as handle:
-                    content = handle.read()
-            except OSError:
-                continue
-            yield pa.RecordBatch.from_pylist(
-                [{"project": row["project"], "path": row["path"], "content": content}],
-                schema=schema,
-            )
-
-
 def scan_trees(roots: DataFrame) -> DataFrame:
     """Read every text file below ``roots(project, root)``.
 
-    Spark's own file sources hide names that start with ``_`` or ``.``, which
-    would lose ``__init__.py``.  Directories are therefore listed level by level,
-    each level one distributed pass, and the files found are spread over tasks by
-    path and size, so that one huge project is shared out like any other.
+    A pass over the roots counts what each holds, far enough to tell large ones; the data
+    source then plans them, some at a time so that the driver holds no more.
     """
-    frontier = roots.select(
-        "project", "root", F.lit("").alias("path"), F.lit(True).alias("is_dir"),
-        F.lit(0).cast("long").alias("size"),
-    )
-    levels: list[DataFrame] = []
-    while True:
-        listed = materialize(
-            frontier.repartition(F.xxhash64("project", "path")).mapInArrow(_list_dirs, _ENTRY)
-        )
-        levels.append(listed.where(~F.col("is_dir")))
-        frontier = listed.where("is_dir")
-        if frontier.isEmpty():
-            break
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
-    total = found.agg(F.sum("size")).first()[0] or 0
-    splits = max(1, -(-total // _SPLIT_BYTES))
-    raw = found.repartition(splits, F.xxhash64("project", "path")).mapInArrow(
-        _read_files, _RAW
-    )
-    return clean(raw)
+    spark = roots.sparkSession
+    trees.register(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = pa.array([trees.count_entries(r.as_py()) for r in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, held], names=["project", "root", "entries"])
+
+    spread = roots.select("project", "root").where(F.col("root").isNotNull()).repartition(F.xxhash64("project", "root"))
+    counted = materialize(spread.mapInArrow(count, "project string, root string, entries long"))
+    total = counted.count()
+    slices = -(-total // PLANNED_ROOTS)
+    reads = []
+    for number in range(slices):
+        mine = counted.where(F.pmod(F.xxhash64("root", "project"), F.lit(slices)) == number)
+        listed = json.dumps([list(row) for row in mine.collect()])
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        reads.append(spark.read.format("project_files").option("roots", listed).option("partitions", str(tasks)).load())
+    if not reads:
+        return clean(spark.createDataFrame([], "project string, path string, content binary"))
+    return clean(reduce(DataFrame.unionByName, reads))

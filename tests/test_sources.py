@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from doclumen.sources import docs
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringContains, StringEndsWith, StringStartsWith
+
+from doclumen.sources import docs, trees
 from doclumen.sources.files import clean, read_table, scan_trees
 
 TREE = {
@@ -100,3 +102,58 @@ def test_dangling_links_cost_only_themselves(spark, tmp_path):
     (tmp_path / "docs" / "y.md").symlink_to(tmp_path / "gone.md")
     found = {r.path for r in scan_trees(spark.createDataFrame([("p", str(tmp_path))], "project string, root string")).collect()}
     assert {"a.py", "docs/x.md", "pkg/b.py"} <= found
+
+
+def _plant(root, files):
+    for path in files:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(b"text")
+
+
+def test_large_roots_are_opened_up_and_every_file_is_read_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "LARGE", 10)
+    flat = [f"flat/f{i}.py" for i in range(45)]
+    deep = [f"a/b{i % 7}/c{i % 3}/d{i}.md" for i in range(60)] + ["README.md", "a/x.txt", "a/skip.bin"]
+    _plant(tmp_path / "big", flat + deep)
+    _plant(tmp_path / "small", ["__init__.py", ".hidden/x.py"])
+    roots = [[p, str(tmp_path / p), trees.count_entries(str(tmp_path / p))] for p in ("big", "small", "gone")]
+    assert [r[2] for r in roots] == [10, 3, 0]
+    options = {"roots": trees.json.dumps(roots), "partitions": "12"}
+    reader = trees.ProjectFilesReader(options)
+    parts = reader.partitions()
+    assert len(parts) >= 12 and max(len(p.units) for p in parts) <= 2
+    rows = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    want = sorted([("big", f) for f in flat + deep if not f.endswith(".bin")] + [("small", "__init__.py"), ("small", ".hidden/x.py")])
+    assert sorted((r["project"], r["path"]) for r in rows) == want
+    largest = max(sum(b.num_rows for b in reader.read(p)) for p in parts)
+    assert largest <= 20
+
+
+def test_filters_are_taken_over_before_files_are_opened(tmp_path, monkeypatch):
+    _plant(tmp_path / "p", ["docs/a.md", "docs/b.rst", "doc/c.md", "m.py", "README.md"])
+    _plant(tmp_path / "q", ["docs/a.md"])
+    options = {"roots": trees.json.dumps([[p, str(tmp_path / p), 1] for p in "pq"])}
+    for filters, want in (
+        ([StringStartsWith(("path",), "docs/")], {"pdocs/a.md", "pdocs/b.rst", "qdocs/a.md"}),
+        ([StringEndsWith(("path",), ".md"), EqualTo(("project",), "p")], {"pdocs/a.md", "pdoc/c.md", "pREADME.md"}),
+        ([In(("path",), ("m.py", "README.md"))], {"pm.py", "pREADME.md"}),
+        ([StringContains(("path",), "oc/")], {"pdoc/c.md"}),
+    ):
+        reader = trees.ProjectFilesReader(options)
+        left = [GreaterThan(("path",), "x"), EqualTo(("content",), b"text")]
+        assert list(reader.pushFilters([*filters, *left])) == left
+        opened = []
+        with monkeypatch.context() as watched:
+            watched.setattr("builtins.open", lambda *a, f=open, **k: opened.append(a[0]) or f(*a, **k))
+            rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+        assert {r["project"] + r["path"] for r in rows} == want and len(opened) == len(want)
+
+
+def test_spark_hands_its_filters_to_the_source(spark, tmp_path):
+    _plant(tmp_path / "p", ["docs/a.md", "docs/b.rst", "m.py"])
+    found = scan_trees(spark.createDataFrame([("p", str(tmp_path / "p")), ("p", None)], "project string, root string"))
+    wanted = found.where(F.col("path").endswith(".md"))
+    assert [r.path for r in wanted.collect()] == ["docs/a.md"]
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "EndsWith(path" not in plan.split("BatchScan")[0]
+    assert scan_trees(spark.createDataFrame([], "project string, root string")).count() == 0

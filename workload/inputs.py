@@ -30,6 +30,8 @@ def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 #: What the two engines write differently: Spark's way, DuckDB's way.
 _DIFFERS = {
+    "<utf8>": (", 'UTF-8'", ""),
+    "<half>": ("X'C3'", "'\\xC3'::BLOB"),
     "<g>": ("", ", 'g'"),
     "<words>": (
         "filter(split(lower(text), '[^a-z]+'), w -> length(w) > 2)",
@@ -369,6 +371,22 @@ TALK_FILES = """
     FROM <conversations>
 """
 
+# Files as bytes: with half a character at the end or start, and with other ends of lines.
+_LINES = """CASE doc_id % 7 WHEN 2 THEN replace(text, chr(10), chr(13) || chr(10))
+    WHEN 3 THEN replace(text, chr(10), chr(13)) WHEN 4 THEN replace(text, chr(10), chr(13) || chr(13) || chr(10))
+    ELSE text END"""
+BINARY_FILES = f"""
+    SELECT source AS project, 'docs/' || cast(doc_id AS string) || '.md' AS path,
+        CASE doc_id % 7 WHEN 0 THEN encode({_LINES}<utf8>) || <half> WHEN 1 THEN <half> || encode({_LINES}<utf8>)
+            ELSE encode({_LINES}<utf8>) END AS content
+    FROM <documents>
+"""
+CLEAN_FILES = f"""
+    SELECT source AS project, 'docs/' || cast(doc_id AS string) || '.md' AS path,
+        regexp_replace({_LINES}, chr(13) || chr(10) || '?', chr(10)<g>) AS content
+    FROM <documents> WHERE doc_id % 7 > 1
+"""
+
 # Documents as they are, and as terms the pairs of neighbouring words of the project two numbers on.
 PLAIN_TEXTS = "SELECT source AS project, cast(doc_id AS string) AS path, text FROM <documents>"
 WORD_PAIRS = """

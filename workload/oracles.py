@@ -406,6 +406,8 @@ ORACLES = {
         "SELECT project, category, label, path, line, array_to_string(terms, '|') AS terms FROM features"
     ),
     "mention_hits": _sql("SELECT project, term FROM hits"),
+    "clean_files": f"""SELECT project, path, len(content) AS chars, md5(content) AS digest
+        FROM ({inputs.duck_sql(inputs.CLEAN_FILES)}) f""",
     "word_pair_mentions": f"""WITH terms AS ({inputs.duck_sql(inputs.WORD_PAIRS)}),
         texts AS (SELECT project, string_agg(lower(text), chr(10)) AS text FROM ({inputs.duck_sql(inputs.PLAIN_TEXTS)}) t GROUP BY project)
         SELECT project, count(*) AS terms, count(*) FILTER (WHERE len(list_filter({_FORMS}, lambda f: contains(text, f))) > 0) AS mentioned

@@ -13,7 +13,7 @@ from doclumen.plans import assess as plan
 from doclumen.plans import explain as answers
 from doclumen.plans import sinks
 from doclumen.runtime import materialize
-from doclumen.sources import docs, packages
+from doclumen.sources import docs, files, packages
 from workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def explain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.clean(inputs.spark_sql(spark, sf_dir, inputs.BINARY_FILES))
+    return found.select("project", "path", F.length("content").alias("chars"), F.md5("content").alias("digest"))
+
+
 def package_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.package_dirs(_code(spark, sf_dir))
 
@@ -272,6 +277,7 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "clean_files": clean_files,
     "coverage_docs": coverage_docs,
     "explain_docs": explain_docs,
     "package_dirs": package_dirs,
