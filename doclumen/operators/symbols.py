@@ -93,10 +93,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def symbols(files: DataFrame, root_prefix: str = "") -> DataFrame:
     """Symbols of each project's package, with docstring and visibility.
 
-    The package directories are one small row per project.  Counted first, they
-    are broadcast and spare parsing whatever lies outside; should there be too
-    many projects for that, the join happens on the symbols instead, so the file
-    contents are not shuffled either way.
+    The package directories are one small row per project.  If they measure small they
+    are broadcast, else both sides are shuffled by project (adaptive execution splits a large
+    one): moving a file costs far less than parsing it, so at any number of projects
+    nothing outside the packages is parsed.
     """
     in_package = F.startswith("path", F.concat("package_dir", F.lit("/")))
     exports = F.regexp_extract_all(
@@ -108,15 +108,8 @@ def symbols(files: DataFrame, root_prefix: str = "") -> DataFrame:
         skips.is_python(F.col("path")) & ~skips.skips_symbols(F.col("path"), root_prefix)
     )
     packages = materialize(package_dirs(files).select("project", "package_dir"))
-    small = broadcast_if_small(packages)
-    if small is not packages:
-        candidates = candidates.join(small, "project").where(in_package)
-    parsed = candidates.select(
-        "project", "path", "content", exports.alias("exports")
-    ).mapInArrow(_parse, _PARSED)
-    if small is packages:
-        parsed = parsed.join(packages, "project").where(in_package).drop("package_dir")
-    return parsed
+    inside = candidates.join(broadcast_if_small(packages), "project").where(in_package)
+    return inside.select("project", "path", "content", exports.alias("exports")).mapInArrow(_parse, _PARSED)
 
 
 def public_symbols(found: DataFrame, kind: str | None = None) -> DataFrame:

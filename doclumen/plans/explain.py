@@ -72,40 +72,36 @@ def rank_sections(
 ) -> DataFrame:
     """Best sections of the ranked documents.
 
-    The ranked rows are few per keyword set; if they measure small they are broadcast,
-    so that the documents are read in place rather than shuffled.
+    A document that several keyword sets rank is split once, and its sections are put into
+    lower case once; then every set that ranks it meets them.  The ranked rows are few
+    per keyword set; if they measure small they are broadcast, so that neither documents
+    nor sections are shuffled.
     """
+    winners = broadcast_if_small(materialize(ranked.select("project", "path").distinct()))
     # The outer form, as for the plain one the optimizer infers a filter on the
     # array's size, which would split every document a second time.
     split = (
-        docs.join(broadcast_if_small(ranked), ["project", "path"])
-        .select("project", "keywords", "path", "doc_rank", F.inline_outer(sections(F.col("content"))))
+        docs.join(winners, ["project", "path"])
+        .select("project", "path", F.inline_outer(sections(F.col("content"))))
         .where(F.col("header").isNotNull())
+        .select(
+            "project",
+            "path",
+            "header",
+            F.substring("body", 1, fv.SECTION_BODY_CHARS).alias("body"),
+            F.lower(F.concat("header", F.lit("\n"), "body")).alias("_low"),
+        )
     )
-    low = F.lower(F.concat("header", F.lit("\n"), "body"))
-    # The one-element array evaluates the lower-case text once, not per keyword.
-    score = F.get(
-        F.transform(
-            F.array(low),
-            lambda text: F.aggregate(
-                "keywords", F.lit(0), lambda sum_, word: sum_ + relevance_tenths(text, word)
-            ),
-        ),
-        F.lit(0),
+    score = F.aggregate(
+        "keywords", F.lit(0), lambda sum_, word: sum_ + relevance_tenths(F.col("_low"), word)
     )
     order = Window.partitionBy("project", "keywords", "path").orderBy(
         F.desc("tenths"), F.desc("header"), F.desc("body")
     )
     return (
-        split.select(
-            "project",
-            "keywords",
-            "path",
-            "doc_rank",
-            "header",
-            F.substring("body", 1, fv.SECTION_BODY_CHARS).alias("body"),
-            score.alias("tenths"),
-        )
+        split.join(broadcast_if_small(ranked), ["project", "path"])
+        # Exploded, as the filter on a plain column would compute the score once more.
+        .select("project", "keywords", "path", "doc_rank", "header", "body", F.explode(F.array(score)).alias("tenths"))
         .where(F.col("tenths") >= fv.SECTION_MIN_TENTHS)
         .withColumn("section_rank", F.row_number().over(order))
         .where(F.col("section_rank") <= per_doc)

@@ -305,6 +305,18 @@ def test_depth_is_a_display_cap(spark, make_files):
         assert (entry["total"], len(entry["undocumented"])) == (120, shown)
 
 
+def test_previews_are_the_first_ones_however_tasks_are_cut(spark):
+    rows = [("p", 1 + i % 2, "c", f"f{(7 * i) % 900:03}", i % 3, i, f"l{i}", i % 5 == 0) for i in range(3000)] + [("q", 1, "c", "f", 0, 0, "l", True)]
+    status = spark.createDataFrame(rows, "project string, category_ord int, category string, path string, extractor_rank int, pos int, label string, documented boolean")
+    got = {(r.project, r.category_ord): r for r in cov.category_coverage(status.repartition(5), 7).collect()}
+    for key, row in got.items():
+        mine = [r for r in rows if (r[0], r[1]) == key]
+        missing = [r[6] for r in sorted(mine, key=lambda r: r[3:6]) if not r[7]]
+        assert (row.total, row.documented, row.undocumented) == (len(mine), len(mine) - len(missing), missing[:7])
+    assert set(got) == {("p", 1), ("p", 2), ("q", 1)}
+    assert cov.category_coverage(status.limit(0)).count() == 0
+
+
 def test_findings_are_appended_by_day(spark, make_files, tmp_path):
     reports = plan.assess(make_files({"mini": MINI})).persist()
     for day in ("2026-01-01", "2026-01-02"):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from doclumen.operators import coverage as cov
 from doclumen.operators import extract, occurrences, symbols
+from doclumen.plans import explain as answers
 from doclumen.runtime import materialize
 from doclumen.sources import docs
 
@@ -64,3 +65,29 @@ def test_materialised_tables_are_scanned_with_pruned_columns_and_filters(landed)
     assert "FileScan parquet" in names and "content" not in names
     wanted = physical(docs.coverage_docs(again).select("path"))
     assert "StringStartsWith(path,docs/)" in wanted and "content" not in wanted
+
+
+def test_categories_are_one_scan_and_one_aggregate(spark, landed):
+    found = cov.features_from_symbols(symbols.symbols(landed)).withColumn("documented", F.lit(False))
+    status = materialize(found)
+    plan = physical(cov.category_coverage(status))
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Window" not in plan
+    assert plan.count("Exchange") == 1
+
+
+def test_files_outside_the_package_are_not_parsed_at_any_number_of_projects(spark, landed, monkeypatch):
+    monkeypatch.setattr(symbols, "broadcast_if_small", lambda df: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(symbols.symbols(landed))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.index("MapInArrow") < plan.index("SortMergeJoin") and "StartsWith(path" in plan[plan.index("MapInArrow") :]
+
+
+def test_documents_are_split_once_for_all_keyword_sets(spark, landed):
+    ranked = spark.createDataFrame([("p", ["a"], "docs/a.md", 1), ("p", ["b"], "docs/a.md", 1)], "project string, keywords array<string>, path string, doc_rank int")
+    plan = physical(answers.rank_sections(ranked, docs.explain_docs(landed)))
+    assert plan.count("split(") == 1 and plan.count("aggregate(keywords") == 1
+    assert plan.count("FileScan parquet") == 2  # the documents, and the winners' names

@@ -122,10 +122,6 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- coverage and scores --
 
 
-def _status(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
-    return materialize(plan.measure(_files(spark, sf_dir), strict))
-
-
 def mention_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     found = materialize(plan.discover(files))
@@ -150,7 +146,7 @@ def word_pair_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _coverage(strict: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = cov.category_coverage(_status(spark, sf_dir, strict))
+        rows = cov.category_coverage(plan.measure(_files(spark, sf_dir), strict))
         return rows.select(
             "project", "category", "total", "documented", "coverage", "moon",
             F.array_join("undocumented", "|").alias("undocumented"),
@@ -176,7 +172,7 @@ def core_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def undocumented_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews of all three depths: one ranking cut at the deepest."""
-    deepest = cov.undocumented_preview(_status(spark, sf_dir), plan.preview_limit(3))
+    deepest = cov.undocumented_preview(plan.measure(_files(spark, sf_dir)), plan.preview_limit(3))
     return deepest.select(
         "project", "category", "rank", "label", "path", "line",
         (F.col("rank") <= plan.preview_limit(1)).alias("depth_1"),
@@ -186,8 +182,7 @@ def undocumented_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    status = materialize(plan.measure(files))
-    return plan.project_assessment(cov.category_coverage(status), files)
+    return plan.project_assessment(cov.category_coverage(plan.measure(files)), files)
 
 
 def project_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
