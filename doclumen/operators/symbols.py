@@ -90,13 +90,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(found, schema=_PARSED_ARROW)
 
 
-def symbols(files: DataFrame, root_prefix: str = "") -> DataFrame:
+def symbols(
+    files: DataFrame, root_prefix: str = "", packages: DataFrame | None = None
+) -> DataFrame:
     """Symbols of each project's package, with docstring and visibility.
 
     The package directories are one small row per project.  If they measure small they
     are broadcast, else both sides are shuffled by project (adaptive execution splits a large
     one): moving a file costs far less than parsing it, so at any number of projects
-    nothing outside the packages is parsed.
+    nothing outside the packages is parsed.  Give ``packages`` where ``files`` are not all of
+    the projects' files.
     """
     in_package = F.startswith("path", F.concat("package_dir", F.lit("/")))
     exports = F.regexp_extract_all(
@@ -107,7 +110,8 @@ def symbols(files: DataFrame, root_prefix: str = "") -> DataFrame:
     candidates = files.where(
         skips.is_python(F.col("path")) & ~skips.skips_symbols(F.col("path"), root_prefix)
     )
-    packages = materialize(package_dirs(files).select("project", "package_dir"))
+    if packages is None:
+        packages = materialize(package_dirs(files).select("project", "package_dir"))
     inside = candidates.join(broadcast_if_small(packages), "project").where(in_package)
     return inside.select("project", "path", "content", exports.alias("exports")).mapInArrow(_parse, _PARSED)
 

@@ -429,6 +429,7 @@ ORACLES = {
             FROM status WHERE NOT documented) p WHERE rank <= 100"""
     ),
     "project_assessment": _sql("SELECT * FROM assessed"),
+    "incremental_assessment": _sql("SELECT * FROM assessed"),
     "recommendations": _sql("SELECT project, position, recommendation FROM advice"),
     "discovery_counts": _sql(
         "SELECT p.project, "

@@ -11,7 +11,7 @@ from doclumen.operators import coverage as cov
 from doclumen.operators import colocated, extract, signatures, skips, symbols
 from doclumen.plans import assess as plan
 from doclumen.plans import explain as answers
-from doclumen.plans import sinks
+from doclumen.plans import incremental, sinks
 from doclumen.runtime import materialize
 from doclumen.sources import docs, files, packages
 from workload import inputs
@@ -185,11 +185,26 @@ def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.project_assessment(cov.category_coverage(plan.measure(files)), files)
 
 
+_ASSESSMENT = (
+    "project", "know", "uncertainty", "overall_coverage", "total_features",
+    "documented_features", "assessment", "moon",
+)
+
+
 def project_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assessed(spark, sf_dir).select(
-        "project", "know", "uncertainty", "overall_coverage", "total_features",
-        "documented_features", "assessment", "moon",
-    )
+    return _assessed(spark, sf_dir).select(*_ASSESSMENT)
+
+
+def incremental_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as it was before some files came, went and changed, then brought up to date."""
+    now = _files(spark, sf_dir)
+    kind = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(100))
+    old = F.when(kind == 1, F.concat(F.lit('os.getenv("OLD_KEY")\n'), F.substring("content", 1, 200)))
+    was = now.where(kind != 0).withColumn("content", old.otherwise(F.col("content")))
+    gone = now.where(kind == 2).withColumn("path", F.concat(F.lit("docs/gone-"), "path"))
+    before, _ = incremental.update(materialize(was.unionByName(gone)))
+    state, _ = incremental.update(now, before)
+    return plan.project_assessment(incremental.categories(state), state.files).select(*_ASSESSMENT)
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +316,7 @@ QUERIES: dict[str, Query] = {
     "core_modules": core_modules,
     "undocumented_preview": undocumented_preview,
     "project_assessment": project_assessment,
+    "incremental_assessment": incremental_assessment,
     "recommendations": recommendations,
     "discovery_counts": discovery_counts,
     "findings": findings,
