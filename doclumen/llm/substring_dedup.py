@@ -139,13 +139,14 @@ def _counted(buckets: int):
             bucket, rem = _keys(h[keep], buckets)
             text, mark = text[keep], several[keep]
             order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                part = order[bounds[b] : bounds[b + 1]]
-                if len(part):
-                    some, place = np.unique(text[part], return_inverse=True)
-                    place = np.where(mark[part], len(some), place).astype("<u2" if len(some) < 65_535 else "<u4")
-                    tell(b, None, place.tobytes(), some.tobytes(), rem[part].tobytes())
+            held = bucket[order]
+            # Only buckets that occur: their number in all grows with the corpus.
+            begins = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else []
+            for b, e in zip(begins, [*begins[1:], len(held)] if len(held) else []):
+                part = order[b:e]
+                some, place = np.unique(text[part], return_inverse=True)
+                place = np.where(mark[part], len(some), place).astype("<u2" if len(some) < 65_535 else "<u4")
+                tell(int(held[b]), None, place.tobytes(), some.tobytes(), rem[part].tobytes())
             types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
