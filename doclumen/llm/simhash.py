@@ -40,6 +40,8 @@ PART_BITS = 24
 PART_RADIUS = 1
 #: A candidate differs in so many of the first 128 places at most: 20 are expected at 0.8, with a deviation of 4.
 CHECK_RADIUS = 34
+#: Pairs of a bucket that are held before they are made a forest.
+FOREST_PAIRS = 200_000
 #: Sets of a block that are compared at once.
 SET_BLOCK = 256
 SET_ROWS = 200
@@ -226,7 +228,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(at[near])
             b.append(other[near])
             held += int(near.sum())
-            if held > 1_000_000:
+            if held > FOREST_PAIRS:
                 root = forest(np.concatenate([*a, np.arange(n)]), np.concatenate([*b, root]), n)
                 a, b, held = [], [], 0
             step += 1
