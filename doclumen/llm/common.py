@@ -56,6 +56,11 @@ def drop(landed: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plain(name: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def id_order(column: Column | str) -> Column:
     """Orders ids, missing ones last."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(LAST_ID))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclumen.llm.common import id_order, land
+from doclumen.llm.common import id_order, land, plain
 
 WINDOW = 2
 #: A line ends at a boundary unless its hash is divisible by this.
@@ -139,7 +139,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     body = F.col("text").cast("binary")
     keys = [id_order(F.col("doc_id").cast("long")).alias("ord"), F.xxhash64(body).alias("th"), body.alias("body")]
     spans = _repeats(docs.select(*keys))
-    every = docs.select(*keys, *(F.col(c).alias(p) for c, p in place.items())).join(spans.hint("merge"), ["ord", "th"], "left")
+    every = docs.select(*keys, *(plain(c).alias(p) for c, p in place.items())).join(spans.hint("merge"), ["ord", "th"], "left")
     schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in place.items())
     out = every.mapInArrow(_removed, f"{schema}, kept binary, n_removed_lines long, n_removed_chunks long")
     changed = F.col("kept").isNotNull()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclumen.llm.buckets import blocked, forest, whole_groups
-from doclumen.llm.common import components, land
+from doclumen.llm.common import components, land, plain
 
 SHINGLE = 3
 SEED = 42
@@ -311,7 +311,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     share that id, or that have none, are told apart by their place in ``docs``; exactly one
     stays.
     """
-    kept = [F.col(c).alias(f"_col_{i}") for i, c in enumerate(docs.columns)]
+    kept = [plain(c).alias(f"_col_{i}") for i, c in enumerate(docs.columns)]
     place = {c: f"_col_{i}" for i, c in enumerate(docs.columns)}
     base = land(docs.select(F.monotonically_increasing_id().alias("_uid"), *kept), release=True)
     body = F.col(place["text"]).cast("binary").alias("body")

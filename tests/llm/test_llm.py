@@ -313,7 +313,7 @@ def test_mixing(docs, empty):
         by_target[round(r.target, 6)] += r.taken
     for t, taken in by_target.items():
         n = sum(1 for s in order if round(target[s], 6) == t)
-        assert n and abs(taken - n * t) <= n * mixing.BLOCK_WORDS
+        assert n and abs(taken - n * t) <= n
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, out))
     assert mixing.mix(empty).count() == 0
     mixed = mixing.mixed_documents(docs)
@@ -324,7 +324,90 @@ def test_mixing(docs, empty):
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         for key in (0, 5, -3):
-            assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))) == list(range(n))
+            there = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))
+            assert sorted(there) == list(range(n))
+            assert mixing.permuted(there, np.full(n, n), np.full(n, key), back=True).tolist() == list(range(n))
+
+
+def test_sources_of_few_words_meet_their_targets(spark):
+    """Sources smaller than a block, with a short last block, of one size, and without words."""
+    sizes = [20, 20, 20, 0, 1, 63, 64, 65, 70, 127, 128, 1000, 7, 333]
+    table = [(100 * k + j, " ".join(["w"] * (n // 3 if j < 2 else n - 2 * (n // 3))), f"s{k:02d}") for k, n in enumerate(sizes) for j in range(3)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    for seed in range(4):
+        by_source = Counter()
+        target = {}
+        for r in mixing.mix(docs, seed).collect():
+            assert r.taken <= 3 * r["size"]
+            by_source[r.doc_id // 100] += r.taken
+            target[r.doc_id // 100] = r.target
+        assert all(abs(by_source[k] - t) <= 0.5 + 1e-9 for k, t in target.items())
+        assert sum(target.values()) == pytest.approx(sum(sizes))
+
+
+def test_shards_draw_multinomial_counts(spark, monkeypatch):
+    """Every slot is in one shard, counts spread as a multinomial does, and many shards are drawn by ranges."""
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 100)
+    monkeypatch.setattr(mixing, "FAN", 7)
+    quota = {0: 40_000, 1: 9_000, 2: 1, 3: 0}
+    rows = [(rank, n // 2 + 1, 64, n, 0) for rank, n in quota.items()]
+    sources = spark.createDataFrame(rows, "rank long, blocks long, last_words long, quota long, cut long")
+    counts = mixing.shard_counts(sources, 5).toPandas()
+    assert counts.groupby("rank").n.sum().to_dict() == {k: n for k, n in quota.items() if n}
+    for _, part in counts.sort_values(["rank", "shard"]).groupby("rank"):
+        assert part["first"].tolist() == (part.n.cumsum() - part.n).tolist()
+    shards = -(-sum(quota.values()) // 100)
+    for rank in (0, 1):
+        drawn = np.zeros(shards)
+        part = counts[counts["rank"] == rank]
+        drawn[part["shard"]] = part.n
+        mean = quota[rank] / shards
+        assert 0.75 < drawn.var() / mean < 1.3 and abs(drawn - mean).max() < 6 * mean**0.5
+    found = mixing.slots(sources, 5).toPandas()
+    assert len(found) == sum(quota.values()) and not found.duplicated(["source_rank", "slot"]).any()
+    assert (found.groupby(["source_rank", "cycle"]).block.nunique() == found.groupby(["source_rank", "cycle"]).size()).all()
+    drawn = {(r.shard, r.source_rank): r.n for r in mixing.shard_counts(sources, 5).withColumnRenamed("rank", "source_rank").collect()}
+    assert found.groupby(["shard", "source_rank"]).size().to_dict() == drawn
+
+
+def test_mixed_shards_hold_what_the_mix_takes(docs, empty):
+    shards = mixing.mixed_shards(docs).collect()
+    got, want = Counter(), Counter()
+    for r in shards:
+        assert len(WORDS.findall(r.text)) <= mixing.BLOCK_WORDS
+        got.update((r.source, w) for w in WORDS.findall(r.text))
+    for r in mixing.mixed_documents(docs).collect():
+        want.update((r.source, w) for w in WORDS.findall(r.text))
+    assert got == want
+    places = {}
+    for r in shards:
+        places.setdefault(r.shard, []).append(r.place)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert mixing.mixed_shards(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_rows_alike_are_parted_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_DOCS", 50)
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit(None).cast("string").alias("source"))
+    out = mixing.mix(docs)
+    assert out.count() == 2000 and out.agg(F.sum("taken")).first()[0] == 6000 and out.agg(F.max("taken")).first()[0] <= 9
+
+
+def test_cut_texts_keep_their_line_feeds(spark):
+    lines = "\n".join(f"{i} one  two" for i in range(2000))
+    docs = spark.createDataFrame([(1, lines, "a", 5), (2, lines, "b", 5), (3, lines, "c", 5), (4, lines, "c", 5)], "doc_id long, text string, source string, `a.b` int")
+    for r in mixing.mixed_documents(docs).collect():
+        pieces = re.findall(r"\d+ one  two\n\d+ one  two", r.text)
+        assert r["a.b"] == 5 and len(pieces) > len(r.text.split("\n")) / 4
+        assert set(WORDS.findall(r.text)) <= set(WORDS.findall(lines))
+
+
+def test_columns_with_dots_pass_through(spark):
+    text = "\n".join(f"line {i} of a text that stands twice" for i in range(20))
+    docs = spark.createDataFrame([(1, text, "a", 5, 6), (2, text, "b", 7, 8)], "doc_id long, text string, source string, `a.b` int, `c``d` int")
+    for out in (lines.line_dedup(docs).select("*"), simhash.deduplicated(docs), mixing.mixed_documents(docs)):
+        assert out.columns[:5] == docs.columns
+        assert {r["a.b"] for r in out.collect()} <= {5, 7}
 
 
 def test_packing(docs, empty):
