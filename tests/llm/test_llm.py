@@ -290,6 +290,45 @@ def test_bad_hosts_are_turned_down(spark):
     assert rates["bad"] > 0.9 and rates["good"] < 0.05 and 0.2 < rates["small"] < 1
 
 
+def host_documents(spark, hosts):
+    """Documents of hosts (name, documents, of these failing by few words, of these by repeats)."""
+    good = " ".join(f"word{k}" for k in range(40))
+    repeats = "one two three four five six seven eight " * 5
+    table = []
+    for host, n, short, repeated in hosts:
+        texts = ["too short"] * short + [repeats] * repeated + [good] * (n - short - repeated)
+        table += [(t, host) for t in texts]
+    rows = [(i, t, h) for i, (t, h) in enumerate(table)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_host_verdicts_decide_about_clean_documents(spark):
+    hosts = [("bad", 200, 180, 5), ("worse", 60, 0, 60), ("good", 200, 2, 0), ("fair", 100, 8, 7), ("one", 1, 1, 0), (None, 120, 70, 45)]
+    n = np.array([h[1] for h in hosts], float)
+    failures = np.array([h[2] + h[3] for h in hosts], float)
+    mean, raw = failures.sum() / n.sum(), failures / n
+    spread = mean * (1 - mean)
+    between = raw.var(ddof=1) - spread * (1 / n).mean()
+    assert between > 0
+    strength = spread / between - 1
+    want = dict(zip((h[0] for h in hosts), (failures + mean * strength) / (n + strength)))
+    out = quality_rules.quality_rules(host_documents(spark, hosts)).collect()
+    source = [h[0] for h in hosts for _ in range(h[1])]
+    for r in out:
+        host = source[r.doc_id]
+        assert r.host_rate == pytest.approx(want[host])
+        assert r.kept == (not r.base_failed and want[host] <= quality_rules.MAX_HOST_RATE)
+    lost = Counter(source[r.doc_id] for r in out if not r.base_failed and not r.kept)
+    assert lost == {"bad": 15, None: 5} and sum(r.kept for r in out) == 198 + 85
+
+
+def test_hosts_that_do_not_differ_share_a_rate(spark):
+    out = quality_rules.quality_rules(host_documents(spark, [("a", 50, 5, 0), ("b", 50, 0, 5), (None, 50, 5, 0)])).collect()
+    assert {round(r.host_rate, 12) for r in out} == {0.1} and all(r.kept == (not r.base_failed) for r in out)
+    out = quality_rules.quality_rules(host_documents(spark, [(None, 10, 10, 0)])).collect()
+    assert {r.host_rate for r in out} == {1.0} and not any(r.kept for r in out)
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs).collect()
     sizes = Counter()
