@@ -107,24 +107,26 @@ class _Patterns:
 
 
 def _pass(patterns: DataFrame, index: DataFrame, emit: Callable, schema: str) -> DataFrame:
-    """``emit(project, patterns, paths, signatures)`` over the index, patterns broadcast if they
-    measure small, else met by a shuffle of both; signatures are what is shuffled then, not texts."""
-    asked = patterns.groupBy("project").agg(F.collect_list("pattern").alias("patterns"))
-    # Documents of a project go to groups by path, so that a large project is many groups.
-    grouped = index.join(broadcast_if_small(materialize(asked)), "project").select("project", "patterns", "path", "signature")
+    """``emit(project, patterns, path, signature)`` over the index; patterns are few enough to be broadcast."""
+    by_project: dict[str, list[str]] = {}
+    for row in patterns.collect():  # size checked by the caller
+        by_project.setdefault(row["project"], []).append(row["pattern"])
+    shared = index.sparkSession.sparkContext.broadcast(by_project)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Patterns] = {}
         state: dict = {}
         for batch in batches:
-            for project, wanted, path, signed in zip(*(batch.column(i) for i in range(4))):
+            for project, path, signed in zip(*(batch.column(i) for i in range(3))):
                 name = project.as_py()
+                if name not in shared.value:
+                    continue
                 if name not in known:
-                    known[name] = _Patterns(wanted.as_py())
+                    known[name] = _Patterns(shared.value[name])
                 yield from emit(state, name, known[name], path.as_py(), signed.as_py())
         yield from emit(state, None, None, None, None)
 
-    return grouped.mapInArrow(scan, schema)
+    return index.select("project", "path", "signature").mapInArrow(scan, schema)
 
 
 def _best_documents(state: dict, project, patterns, path, signed) -> Iterator[pa.RecordBatch]:
@@ -160,6 +162,10 @@ def mentioned_patterns(
     :func:`signature_index` over the same documents; paths are unique within a project.
     """
     patterns = materialize(patterns.select("project", "pattern").where(F.col("project").isNotNull()).distinct())
+    if not occurrences.are_small(patterns):
+        # So many are admitted by almost every document.
+        opened = index.select("project", "path").join(patterns.select("project").distinct(), "project", "left_semi")
+        return materialize(occurrences.mentioned_patterns(patterns, docs)), opened
     best = _pass(patterns, index, _best_documents, "project string, pattern string, many long, path string")
     chosen = materialize(
         best.groupBy("project", "pattern").agg(F.max_by("path", F.struct("many", "path")).alias("path"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doclumen import fixed_values as fv
 from doclumen.operators import coverage as cov
-from doclumen.operators import colocated, occurrences, signatures
+from doclumen.operators import colocated, occurrences, signatures, windows
 from doclumen.plans import assess as plan
 from doclumen.plans import sinks
 
@@ -359,3 +359,34 @@ def test_runs_that_are_repeated_or_end_early_leave_one_set_of_rows(spark, make_f
     kept = seen()
     sinks.remove_uncommitted(spark, path)
     assert seen() == kept and spark.read.parquet(f"{path}/findings").count() == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_hold_every_place_that_a_pattern_lies_in(spark, monkeypatch, seed):
+    """Runs, separators of all kinds, empty and repeated patterns, null texts, groups in parts, windows forgotten."""
+    monkeypatch.setattr(windows, "GROUP_PATTERNS", 3)
+    monkeypatch.setattr(windows, "SEEN_WINDOWS", 5)
+    monkeypatch.setattr(windows, "BATCH", 4)
+    rng = random.Random(seed)
+    word = lambda lo, hi: "".join(rng.choice("abAé𝔸0 -_/\n.<") for _ in range(rng.randint(lo, hi)))
+    docs = [(rng.choice(["p", "q"]), f"d{i}", word(0, 50)) for i in range(60)] + [("p", "n", None), (None, "x", "a"), ("e", "x", "")]
+    held = [(q, t[i : i + n]) for q, _, t in docs if q and t for i, n in [(rng.randint(0, 9), rng.randint(1, 12))] * 2]
+    patterns = [*{*held, *((rng.choice(["p", "q", "e"]), word(0, 5)) for _ in range(200)), ("e", ""), ("p", ""), ("gone", "")}]
+    forms = spark.createDataFrame([(p, w, f"{w}!") for p, w in patterns] + [(None, "a", "a"), ("p", None, "z")], "project string, pattern string, name string")
+    d = spark.createDataFrame(docs, DOC).repartition(3)
+    expected = [(p, f"{w}!") for p, w in brute_force(patterns, [x for x in docs if x[2] is not None])]
+    assert sorted(map(tuple, windows.mentions(forms, d).collect())) == sorted(expected)
+    assert sorted(map(tuple, windows.mentions(forms, colocated.colocate(d.where("text is not null"))).collect())) == sorted(expected)
+
+
+def test_many_patterns_are_not_multiplied_by_the_documents(spark, small_limits):
+    """A search beyond broadcasting sends a pattern to one group, however many parts its project's texts have."""
+    docs = [("p", f"d{i}", f"some text with word{i} in it " * 20) for i in range(40)]
+    p = spark.createDataFrame([("p", f"word{i} in") for i in range(80)], "project string, pattern string")
+    landed = colocated.colocate(spark.createDataFrame(docs, DOC))
+    assert landed.parts.first()["parts"] > 10
+    found = occurrences.mentioned_patterns(p, landed)
+    assert found.count() == 40
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    index = signatures.signature_index(landed.docs)
+    assert signatures.mentioned_patterns(p, landed.docs, index)[0].count() == 40
