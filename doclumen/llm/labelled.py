@@ -19,6 +19,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``_of, label``: ids outside the held-out fold with one label, 0 or 1; nulls and contradictions do not count."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    one = known.groupBy(F.col("doc_id").alias("_of")).agg(F.min(label).alias("label"), F.max(label).alias("_most"))
+    return one.filter("label = _most").drop("_most")
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``_of, text, label`` for each id of ``chosen(_of, label)`` that documents have, with the least of its texts."""
+    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_of"))
+    return found.groupBy("_of").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = LABELLED_ROWS) -> DataFrame:
     """``text, label`` (0 or 1) of at most ``rows`` labelled documents outside the held-out fold.
 
@@ -26,12 +39,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = LABELLED_
     bounded by ``rows`` and so may be broadcast; an id that documents repeat counts once,
     with the least of its texts.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    one = known.groupBy(F.col("doc_id").alias("_of")).agg(F.min(label).alias("label"), F.max(label).alias("_most"))
-    one = one.filter("label = _most").drop("_most")
-    chosen = one.orderBy(F.xxhash64("_of"), "_of").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_of"))
-    return found.groupBy("_of").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
+    chosen = known_labels(labels, label).orderBy(F.xxhash64("_of"), "_of").limit(rows)
+    return labelled_texts(docs, F.broadcast(chosen)).select("text", "label")
 
 
 def featured(docs: DataFrame, features: Callable[[str], list[float]]) -> tuple[np.ndarray, np.ndarray]:

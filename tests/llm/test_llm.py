@@ -573,3 +573,19 @@ def test_pipeline_stages(spark):
     assert words == Counter({i: n for i, n in taken.items() if n})
     assert packed(spark, d, folder).agg(F.sum("length")).first()[0] == packing.tokenized(d).agg(F.sum("length")).first()[0]
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """The word that tells good from bad comes in one row in forty only; parts and the bound on samples are small."""
+    monkeypatch.setattr(labelled, "LABELLED_ROWS", 10)
+    monkeypatch.setattr(quality_classifier, "PART_ROWS", 100)
+    rows = [(i, "plain words that say little " * (1 + i % 3) + ("# | # | " * 9 if i % 2 else ""), 1 - i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality_classifier.QualityModel._quantile
+    monkeypatch.setattr(quality_classifier.QualityModel, "_quantile", lambda self, placed, bad, n: (seen.append((placed.count(), n)), real(self, placed, bad, n))[1])
+    out = {r.doc_id: r.predicted for r in quality_classifier.quality(docs, labels).collect()}
+    learned = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    assert seen == [(learned, learned)] and learned > 300
+    assert out == {i: y for i, _, y in rows}
