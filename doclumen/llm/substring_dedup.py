@@ -227,6 +227,21 @@ def _around(buckets: int):
     return each
 
 
+def _by_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of small numbers, and a key of each pair in that order.
+
+    Where a pair and its place fit into 64 bits they are sorted as one number, several times
+    as fast as places by their keys.
+    """
+    shift, at = int(low.max()).bit_length(), len(low).bit_length()
+    key = (high.astype(np.uint64) << np.uint64(shift)) | low.astype(np.uint64)
+    if int(high.max()).bit_length() + shift + at > 64:
+        order = np.argsort(key)
+        return order, key[order]
+    both = np.sort((key << np.uint64(at)) | np.arange(len(low), dtype=np.uint64))
+    return (both & np.uint64((1 << at) - 1)).astype(np.int64), both >> np.uint64(at)
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of some strings, with the smallest document
     sampled for each group of rows that share ``LENGTH`` bytes."""
@@ -242,25 +257,24 @@ class RunLengthIndex:
         text[within] = joined.astype(np.uint64) + np.uint64(1)
         owner = np.repeat(np.arange(strings), lengths)
         left = ends[owner] - np.arange(n)  # bytes from a place to the end of its string
-        # Ranks by the first 4 bytes, then doubled; ends of strings differ by their number.
-        padded = np.append(text, np.zeros(3, np.uint64))
+        # Ranks by the first 7 bytes, then doubled; ends of strings differ by their number.
+        padded = np.append(text, np.zeros(6, np.uint64))
         key = np.zeros(n, np.uint64)
-        for k in range(4):
+        for k in range(7):
             key = (key << np.uint64(9)) | np.where(left >= k, padded[k : k + n], np.uint64(0))
-        key = (key << np.uint64(24)) | np.where(left < 4, owner + 1, 0).astype(np.uint64)
-        rank, known, order = None, 4, None
+        rank, known, order = None, 7, np.argsort(key)
+        ordered = key[order]
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
             new = np.append(False, ordered[1:] != ordered[:-1])
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new)
-            if known == 32:
-                by_32 = rank
-            if known >= 32 and (new[1:].all() or known >= 2 * lengths.max()):
+            if known == 28:
+                by_28 = rank
+            if known >= 28 and new[1:].all():
                 break
             ahead = np.minimum(np.arange(n) + known, n - 1)
-            key = (rank.astype(np.uint64) << np.uint64(32)) | np.where(left >= known, rank[ahead] + 1, 0).astype(np.uint64)
+            # Equal ranks end within what is known all together or not at all.
+            order, ordered = _by_pairs(rank, np.where(left >= known, rank[ahead], owner))
             known *= 2
         before = text[order - 1]
         before[left[order] == lengths[owner[order]] - 1] = 0  # nothing stands before a string
@@ -277,10 +291,13 @@ class RunLengthIndex:
         starts_of = np.cumsum(np.bincount(self.run_bytes, run_lengths, 258)) - np.bincount(self.run_bytes, run_lengths, 258)
         self.run_rows[by_byte] = firsts[self.run_bytes[by_byte]] + laid - starts_of[self.run_bytes[by_byte]].astype(np.int64)
         long = left[order] >= LENGTH
-        tail = np.minimum(order + LENGTH - 32, n - 1)
-        same = long[1:] & long[:-1] & (by_32[order[1:]] == by_32[order[:-1]]) & (by_32[tail[1:]] == by_32[tail[:-1]])
-        self.group_starts = np.flatnonzero(np.append(True, ~same))
-        self.group_document = np.minimum.reduceat(documents[owner[order]], self.group_starts)
+        tail = np.minimum(order + LENGTH - 28, n - 1)
+        same = long[1:] & long[:-1] & (by_28[order[1:]] == by_28[order[:-1]]) & (by_28[tail[1:]] == by_28[tail[:-1]])
+        group = np.append(True, ~same)
+        self.group_document = np.minimum.reduceat(documents[owner[order]], np.flatnonzero(group))
+        # The number of heads up to a row tells its run and its group without a search.
+        self.run_of = np.cumsum(head, dtype=np.int32) - 1
+        self.group_of = np.cumsum(group, dtype=np.int32) - 1
         self.lengths = lengths - 1
 
     def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -293,14 +310,14 @@ class RunLengthIndex:
             active, row, place = active[running], row[running], place[running]
             if not len(active):
                 return
-            run = np.searchsorted(self.run_starts, row, side="right") - 1
+            run = self.run_of[row]
             row = self.run_rows[run] + row - self.run_starts[run]
             place = place - 1
             yield active, place, row
 
     def smallest(self, row: np.ndarray) -> np.ndarray:
         """The smallest document that has the first ``LENGTH`` bytes of the suffix at ``row``."""
-        return self.group_document[np.searchsorted(self.group_starts, row, side="right") - 1]
+        return self.group_document[self.group_of[row]]
 
 
 def _matched(table: pa.Table) -> pa.Table:

@@ -218,6 +218,33 @@ def test_repeated_rows_have_one_list_of_stretches(spark, monkeypatch):
     assert counts[0] == counts[1] > 0
 
 
+def test_pairs_sort_as_one_number_or_by_key():
+    rng = np.random.default_rng(8)
+    for top in (1, 50, 2**31):
+        high, low = rng.integers(0, top, (2, 5000))
+        order, key = subs._by_pairs(high, low)
+        assert sorted(order.tolist()) == list(range(5000)) and (np.diff(key.astype(np.float64)) >= 0).all()
+        assert [(h, w) for h, w in zip(high[order], low[order])] == sorted(zip(high, low))
+        assert ((key[1:] == key[:-1]) == ((np.diff(high[order]) == 0) & (np.diff(low[order]) == 0))).all()
+
+
+def test_smallest_documents_of_windows_equal_brute_force():
+    rng = np.random.default_rng(9)
+    for letters in (1, 2, 256):
+        strings = [rng.integers(0, letters, int(rng.integers(50, 77))).astype(np.uint8).tobytes() for _ in range(20)]
+        strings += [s[: int(rng.integers(50, len(s) + 1))] for s in strings]
+        documents = rng.permutation(len(strings))
+        index = subs.RunLengthIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), documents)
+        least = {}
+        for s, d in zip(strings, documents):
+            for p in range(len(s) - 49):
+                least[s[p : p + 50]] = min(d, least.get(s[p : p + 50], d))
+        for active, place, row in index.stream():
+            whole = index.lengths[active] - place >= 50
+            for s, p, d in zip(active[whole], place[whole], index.smallest(row[whole])):
+                assert least[strings[s][p : p + 50]] == d
+
+
 def test_run_length_index_inverts_its_strings():
     strings = [b"abracadabra" * 6, b"x" + b"abracadabra" * 6, b"\x00\xff" * 30, b"abracadabra" * 6]
     lengths = np.array([len(s) for s in strings])
