@@ -58,6 +58,18 @@ def test_postings_that_cannot_matter_are_not_met(spark):
     assert bounds.where(~F.col("essential")).count() > 0
 
 
+def test_keyword_sets_are_not_written_for_each_candidate(spark, monkeypatch):
+    """Sets of many long words, each of which ranks many documents: only numbers stand beside the paths."""
+    landed = []
+    real = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df: (landed.append(df), real(df))[1])
+    hits, keyword_sets, words, found = _tables(spark, 6)
+    ranked = ranking.top_documents(words, ranking.land_postings(found), 5, 2).collect()
+    assert {(r.project, tuple(r["keywords"]), r.path, r.tenths, r.doc_rank) for r in ranked} == _brute(hits, keyword_sets, 5, 2)
+    by_document = [dict(df.dtypes) for df in landed if {"path", "keywords"} <= set(df.columns)]
+    assert by_document and all(d["keywords"] == "bigint" for d in by_document)
+
+
 def test_nothing_to_rank(spark):
     _, _, words, found = _tables(spark, 5)
     none = ranking.land_postings(found.limit(0))
