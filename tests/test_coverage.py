@@ -4,6 +4,8 @@ import itertools
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,3 +392,36 @@ def test_many_patterns_are_not_multiplied_by_the_documents(spark, small_limits):
     assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
     index = signatures.signature_index(landed.docs)
     assert signatures.mentioned_patterns(p, landed.docs, index)[0].count() == 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_filtered_windows_hold_every_pattern_whatever_the_blocks(monkeypatch, seed):
+    """Texts longer than a block, patterns longer than a text, characters of several bytes, many projects' filters in one."""
+    monkeypatch.setattr(windows, "BLOCK_BYTES", 16)
+    rng = random.Random(seed)
+    word = lambda lo, hi: "".join(rng.choice("abé𝔸 -") for _ in range(rng.randint(lo, hi))).encode()
+    texts = [word(0, 90) for _ in range(40)]
+    held = [t[i : i + n] for t in texts for i, n in [(rng.randint(0, 40), rng.randint(1, 40))] * 2]
+    patterns = sorted({p for p in [*held, *(word(1, 6) for _ in range(100)), word(200, 200)] if p.decode("utf-8", "ignore").encode() == p and p})
+    exponent = 14
+    batch = pa.RecordBatch.from_arrays([pa.array(["p"] * len(patterns)), pa.array([p.decode() for p in patterns])], names=["project", "pattern"])
+    filled = np.zeros(windows.PAGE_BYTES, np.uint8)
+    for out in windows._pages(64 - exponent)([batch]):
+        filled |= np.frombuffer(windows._page(pa.Table.from_batches([out])).column("bits")[0].as_py(), np.uint8)
+    lengths = sorted({len(p) for p in patterns})
+    found = {w for b in windows._blocks(texts, lengths[-1]) for w in windows.windows(b, windows._seed("p"), lengths, filled, 64 - exponent)}
+    assert found & {*patterns} == {p for p in patterns if any(p in t for t in texts)}
+    few = {w for b in windows._blocks(texts, lengths[-1]) for w in windows.windows(b, windows._seed("q"), lengths, filled, 64 - exponent)}
+    assert len(few) < len(found) / 4
+
+
+def test_texts_give_few_windows_besides_patterns(spark, monkeypatch):
+    """What meets the patterns is in proportion to what is found, not to the words of the texts."""
+    cut, met = windows.cut, []
+    monkeypatch.setattr(windows, "cut", lambda *a: met.append(cut(*a)) or met[-1])
+    rng = random.Random(1)
+    docs = [("p", f"d{i}", " ".join(f"w{rng.randint(0, 3000)}" for _ in range(500))) for i in range(20)]
+    forms = spark.createDataFrame([("p", f"n{i}", f"w{i} w{j}") for i in range(100) for j in range(20)], "project string, name string, pattern string")
+    expected = {(p, n) for p, n, w in map(tuple, forms.collect()) if any(w in t for _, _, t in docs)}
+    assert {*map(tuple, windows.mentions(forms, spark.createDataFrame(docs, DOC)).collect())} == expected
+    assert met[0].count() < 500
