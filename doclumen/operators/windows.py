@@ -29,6 +29,8 @@ GROUP_PATTERNS = 1 << 25
 BEGINNINGS = (4, 6, 8, 12, 16, 32, 64)
 #: Distinct windows that a task remembers so as not to write them twice.
 SEEN_WINDOWS = 400_000
+#: Windows of each length up to eight bytes that a task knows again without cutting them out.
+WRITTEN_SHORT = 1 << 16
 #: Windows in an Arrow batch.
 BATCH = 20_000
 #: Bytes of text that are hashed together; longer texts are cut into blocks that overlap.
@@ -158,25 +160,58 @@ def _passed(hashes: np.ndarray, places: np.ndarray | None, probes: list[np.uint6
     return places
 
 
-def windows(block: bytes, seed: int, lengths: list[int], filled: np.ndarray, shift: int) -> Iterator[bytes]:
-    """The windows of a block that may be patterns: all that are, and few others.  ``lengths`` ascend."""
+class _Written:
+    """Short windows that a task has cut out before, the latest of those that fall on one slot.
+
+    A window of up to eight bytes is told by its bytes as a number, so none is taken for another.
+    """
+
+    def __init__(self):
+        self.numbers = np.zeros((9, WRITTEN_SHORT), np.uint64)
+        self.owners = np.full((9, WRITTEN_SHORT), -1, np.int64)
+        self.shift = np.uint64(65 - WRITTEN_SHORT.bit_length())
+
+    def new(self, block: bytes, places: np.ndarray, length: int, owner: int) -> np.ndarray:
+        codes = np.frombuffer(block, np.uint8)
+        numbers = np.zeros(len(places), np.uint64)
+        for i in range(length):
+            numbers <<= np.uint64(8)
+            numbers |= codes[places + i]
+        slots = (numbers * np.uint64(_BASE) >> self.shift).view(np.int64)
+        new = np.flatnonzero((self.numbers[length, slots] != numbers) | (self.owners[length, slots] != owner))
+        self.numbers[length, slots[new]] = numbers[new]
+        self.owners[length, slots[new]] = owner
+        return places[new]
+
+
+def windows(
+    block: bytes, seed: int, lengths: list[int], filled: np.ndarray, shift: int, written: _Written | None = None, owner: int = 0
+) -> list[bytes]:
+    """The windows of a block that may be patterns: all that are, and few others.  ``lengths`` ascend.
+
+    With ``written``, most of those that it knows as the owner's are left out.
+    """
     hashes = _Hashes(block)
     mark = np.uint64(seed)
     places: np.ndarray | None = None
+    found: list[bytes] = []
     steps = sorted([*((b, 0) for b in BEGINNINGS if b <= lengths[-1]), *((n, 1) for n in lengths if n)])
     for length, whole in steps:
         if length > hashes.size:
-            return
+            break
         tag, probes = (mark, _PROBES) if whole else (mark ^ _BEGINS, _BEGIN_PROBES)
         if places is None:
             passed = _passed(hashes.all(length) ^ tag, None, probes, filled, shift)
         else:
             fit = places[: np.searchsorted(places, hashes.size - length, "right")]
             passed = _passed(hashes.at(fit, length) ^ tag, fit, probes, filled, shift)
-        if whole:
-            yield from (block[i : i + length] for i in passed.tolist())
-        else:
+        if not whole:
             places = passed
+            continue
+        if written and length <= 8:
+            passed = written.new(block, passed, length, owner)
+        found += [block[i : i + length] for i in passed.tolist()]
+    return found
 
 
 def _blocks(texts: list[bytes], longest: int) -> Iterator[bytes]:
@@ -220,15 +255,18 @@ def cut(docs: DataFrame | ColocatedDocs, lengths: dict[int, list[int]], filled:
         lengths, filled = shared.value
         seen: dict[str, set[bytes]] = {}
         held = 0
+        written = _Written()
+        owners: dict[str, int] = {}
         for texts in _by_project(batches):
             for project, own in texts.items():
                 wanted = lengths.get(zlib.crc32(project.encode("utf-8", "surrogatepass")) % LENGTH_KEYS)
                 if not wanted:
                     continue
                 known = seen.setdefault(project, set())
+                owner = owners.setdefault(project, len(owners))
                 new = set() if wanted[0] else {b""} - known
                 for block in _blocks(own, wanted[-1]):
-                    new.update(windows(block, _seed(project), wanted, filled, shift))
+                    new.update(windows(block, _seed(project), wanted, filled, shift, written, owner))
                     new -= known
                     known |= new
                     held += len(new)

@@ -425,3 +425,17 @@ def test_texts_give_few_windows_besides_patterns(spark, monkeypatch):
     expected = {(p, n) for p, n, w in map(tuple, forms.collect()) if any(w in t for _, _, t in docs)}
     assert {*map(tuple, windows.mentions(forms, spark.createDataFrame(docs, DOC)).collect())} == expected
     assert met[0].count() < 500
+
+
+def test_short_windows_are_left_out_only_where_their_owner_had_them(monkeypatch):
+    """One slot for all: no window is taken for another, another project's, or one of another length."""
+    monkeypatch.setattr(windows, "WRITTEN_SHORT", 2)
+    rng = random.Random(2)
+    written, had = windows._Written(), set()
+    for _ in range(200):
+        owner, length, block = rng.randint(0, 1), rng.randint(1, 8), bytes(rng.choice(b"\0ab\xff") for _ in range(12))
+        places = np.arange(len(block) - length + 1)
+        new = {block[i : i + length] for i in written.new(block, places, length, owner).tolist()}
+        for w in {block[i : i + length] for i in places.tolist()} - new:
+            assert (owner, w) in had
+        had |= {(owner, w) for w in new}
