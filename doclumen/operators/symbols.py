@@ -22,6 +22,9 @@ from doclumen.operators import skips
 from doclumen.runtime import broadcast_if_small, materialize
 from doclumen.sources.packages import package_dirs
 
+#: Symbols in an Arrow batch, more by those of one file at most.
+BATCH = 1_000
+
 _PARSED = T.StructType(
     [
         T.StructField("project", T.StringType()),
@@ -69,23 +72,27 @@ def _symbols_of(content: str) -> Iterator[tuple[str, str, int, str, int]]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Symbols of ``project, path, content, exports``, of which one file at a time is a Python string."""
     for batch in batches:
         found = []
-        for file in batch.to_pylist():
-            exports = file["exports"]
-            for name, kind, line, docstring, pos in _symbols_of(file["content"]):
+        for project, path, content, exported in zip(*batch.columns):
+            exports = exported.as_py()
+            for name, kind, line, docstring, pos in _symbols_of(content.as_py()):
                 found.append(
                     {
-                        "project": file["project"],
+                        "project": project.as_py(),
                         "name": name,
                         "type": kind,
-                        "path": file["path"],
+                        "path": path.as_py(),
                         "line": line,
                         "docstring": docstring,
                         "is_public": not exports or name in exports,
                         "pos": pos,
                     }
                 )
+            if len(found) >= BATCH:
+                yield pa.RecordBatch.from_pylist(found, schema=_PARSED_ARROW)
+                found = []
         if found:
             yield pa.RecordBatch.from_pylist(found, schema=_PARSED_ARROW)
 

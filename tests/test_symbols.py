@@ -1,5 +1,8 @@
 """Package resolution and symbols."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
 from doclumen import runtime
@@ -102,3 +105,21 @@ def test_same_symbols_when_packages_are_too_many_to_broadcast(make_files, monkey
     monkeypatch.setattr(s, "broadcast_if_small", lambda df: runtime.broadcast_if_small(df, 0))
     assert s.symbols(files).collect() == broadcast
     assert len(broadcast) == 1
+
+
+def test_parsing_holds_one_file_at_a_time():
+    """Not all texts of an Arrow batch as Python strings, nor all of their symbols."""
+    text = "# " + "\u4e2d" * 100_000 + "\n" + "def f(): pass\n" * 20
+    rows = [{"project": "p", "path": f"p/{i}.py", "content": text, "exports": ["f"] if i % 2 else ["g"]} for i in range(100)]
+    schema = pa.schema([("project", pa.string()), ("path", pa.string()), ("content", pa.string()), ("exports", pa.list_(pa.string()))])
+    batch = pa.RecordBatch.from_pylist(rows, schema=schema)
+    list(s._parse([batch.slice(0, 1)]))
+    tracemalloc.start()
+    found = []
+    for out in s._parse([batch]):
+        assert out.num_rows < s.BATCH + 20
+        found += zip(*(out.column(c).to_pylist() for c in ("path", "is_public")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == sorted((f"p/{i}.py", bool(i % 2)) for i in range(100) for _ in range(20))
+    assert peak < 5_000_000  # all texts are 20 MB
