@@ -27,7 +27,7 @@ BITS_PER_PATTERN = 16
 GROUP_PATTERNS = 1 << 25
 #: Lengths in bytes of the beginnings that are in the filter.
 BEGINNINGS = (4, 6, 8, 12, 16, 32, 64)
-#: Distinct windows that a task remembers so as not to write them twice.
+#: Distinct windows that a task remembers so as not to write them twice, more by those of one block at most.
 SEEN_WINDOWS = 400_000
 #: Windows of each length up to eight bytes that a task knows again without cutting them out.
 WRITTEN_SHORT = 1 << 16
@@ -246,37 +246,43 @@ def _by_project(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[by
     yield texts
 
 
+def _new_windows(
+    batches: Iterator[pa.RecordBatch], lengths: dict[int, list[int]], filled: np.ndarray, shift: int
+) -> Iterator[pa.RecordBatch]:
+    """The windows of ``project, text``; those that were written before are told by a bounded memory, emptied between blocks."""
+    seen: dict[str, set[bytes]] = {}
+    held = 0
+    written = _Written()
+    owners: dict[str, int] = {}
+    for texts in _by_project(batches):
+        for project, own in texts.items():
+            wanted = lengths.get(zlib.crc32(project.encode("utf-8", "surrogatepass")) % LENGTH_KEYS)
+            if not wanted:
+                continue
+            owner = owners.setdefault(project, len(owners))
+            new = set() if wanted[0] else {b""}
+            for block in _blocks(own, wanted[-1]):
+                known = seen.setdefault(project, set())
+                new.update(windows(block, _seed(project), wanted, filled, shift, written, owner))
+                new -= known
+                known |= new
+                held += len(new)
+                pieces = [p for p in new if _BETWEEN not in p]
+                new = set()
+                for first in range(0, len(pieces), BATCH):
+                    part = pieces[first : first + BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.array([project] * len(part), pa.string()), pa.array(part, pa.binary())], schema=_WINDOWS_ARROW)
+                if held > SEEN_WINDOWS:
+                    seen, held = {}, 0
+
+
 def cut(docs: DataFrame | ColocatedDocs, lengths: dict[int, list[int]], filled: np.ndarray, shift: int) -> DataFrame:
     """``project, piece``: the windows of all documents that may be patterns, most of them once for a task."""
     there = docs.docs if isinstance(docs, ColocatedDocs) else docs
     shared = there.sparkSession.sparkContext.broadcast((lengths, filled))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, filled = shared.value
-        seen: dict[str, set[bytes]] = {}
-        held = 0
-        written = _Written()
-        owners: dict[str, int] = {}
-        for texts in _by_project(batches):
-            for project, own in texts.items():
-                wanted = lengths.get(zlib.crc32(project.encode("utf-8", "surrogatepass")) % LENGTH_KEYS)
-                if not wanted:
-                    continue
-                known = seen.setdefault(project, set())
-                owner = owners.setdefault(project, len(owners))
-                new = set() if wanted[0] else {b""} - known
-                for block in _blocks(own, wanted[-1]):
-                    new.update(windows(block, _seed(project), wanted, filled, shift, written, owner))
-                    new -= known
-                    known |= new
-                    held += len(new)
-                    pieces = [p for p in new if _BETWEEN not in p]
-                    new = set()
-                    for first in range(0, len(pieces), BATCH):
-                        part = pieces[first : first + BATCH]
-                        yield pa.RecordBatch.from_arrays([pa.array([project] * len(part), pa.string()), pa.array(part, pa.binary())], schema=_WINDOWS_ARROW)
-                if held > SEEN_WINDOWS:
-                    seen, held = {}, 0
+        yield from _new_windows(batches, *shared.value, shift)
 
     return there.select("project", "text").mapInArrow(scan, _WINDOWS)
 

@@ -3,6 +3,8 @@
 import itertools
 import json
 import random
+import string
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -439,3 +441,42 @@ def test_short_windows_are_left_out_only_where_their_owner_had_them(monkeypatch)
         for w in {block[i : i + length] for i in places.tolist()} - new:
             assert (owner, w) in had
         had |= {(owner, w) for w in new}
+
+
+def test_windows_written_before_are_forgotten_between_blocks(monkeypatch):
+    """However many windows the texts of one project give at a time."""
+    for name, value in {"SEEN_WINDOWS": 1000, "BLOCK_BYTES": 1 << 12, "WRITTEN_SHORT": 16}.items():
+        monkeypatch.setattr(windows, name, value)
+    windows._powers.cache_clear()
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(string.ascii_letters, k=50_000)) for _ in range(4)]
+    batch = pa.RecordBatch.from_pylist([{"project": "p", "text": t} for t in texts])
+    lengths = {windows.zlib.crc32(b"p") % windows.LENGTH_KEYS: [0, 20]}
+    filled = np.full(windows.PAGE_BYTES, 255, np.uint8)  # all windows pass
+    found = set()
+    tracemalloc.start()
+    for out in windows._new_windows([batch], lengths, filled, 64 - 21):
+        found.update(hash(p) for p in out.column(1).to_pylist())
+        assert out.column(0).unique().to_pylist() == ["p"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    windows._powers.cache_clear()
+    assert found == {hash(t[i : i + 20].encode()) for t in texts for i in range(len(t) - 19)} | {hash(b"")}
+    assert peak < 22_000_000
+
+
+def test_few_patterns_are_looked_up_in_one_text_at_a_time(spark, monkeypatch):
+    """Not with all texts of an Arrow batch as Python strings."""
+    passes = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, scan, schema: passes.append(scan))
+    patterns = spark.createDataFrame([("p", "needle")], "project string, pattern string")
+    occurrences._by_broadcast(patterns, spark.createDataFrame([], DOC), occurrences._found, occurrences._FOUND_ARROW, occurrences._FOUND)
+    rows = [{"project": "p" if i % 2 else None, "path": str(i), "text": "\u4e2d" * 100_000 + "needle" * (i % 4 == 1)} for i in range(100)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    list(passes[0]([batch.slice(0, 2)]))
+    tracemalloc.start()
+    found = [r for out in passes[0]([batch]) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"project": "p", "path": str(i), "patterns": ["needle"]} for i in range(1, 100, 4)]
+    assert peak < 5_000_000  # all texts are 20 MB
