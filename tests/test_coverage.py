@@ -480,3 +480,40 @@ def test_few_patterns_are_looked_up_in_one_text_at_a_time(spark, monkeypatch):
     tracemalloc.stop()
     assert found == [{"project": "p", "path": str(i), "patterns": ["needle"]} for i in range(1, 100, 4)]
     assert peak < 5_000_000  # all texts are 20 MB
+
+
+def test_many_patterns_are_searched_in_groups_and_met_by_few(spark, monkeypatch):
+    """Projects in several groups, one in shares: no filter gets more patterns than it is made for, and what no window holds is not joined."""
+    monkeypatch.setattr(windows, "SEARCH_PATTERNS", 150)
+    monkeypatch.setattr(windows, "JOINED_PATTERNS", 0)
+    made, passing, left = windows._filter, windows._passing, []
+    counts = []
+    monkeypatch.setattr(windows, "_filter", lambda patterns, count, *a: counts.append((patterns.count(), a)) or made(patterns, count, *a))
+    monkeypatch.setattr(windows, "_passing", lambda *a: left.append(passing(*a)) or left[-1])
+    rng = random.Random(4)
+    docs = [(p, f"{p}{i}", "é " + " ".join(f"w{rng.randint(0, 300)}" for _ in range(60))) for p in ("big", "p0", "p1", "p2") for i in range(4)]
+    docs += [("big", "none", None), (None, "x", "w1 w2")]
+    names = [("big", f"w{rng.randint(0, 300)}", f"w{rng.randint(0, 300)}") for _ in range(300)] + [(f"p{i % 4}", f"w{i}", f"w{rng.randint(0, 300)}") for i in range(240)]
+    rows = {(p, f"{a}-{b}", form) for p, a, b in names for form in (f"{a}-{b}", f"{a} {b}", f"{a}_{b}", f"{a}")} | {("big", "empty", ""), (None, "w1", "w1"), ("p1", "w2", None)}
+    forms = spark.createDataFrame(sorted(rows, key=str), "project string, name string, pattern string")
+    expected = {(p, n) for p, n, w in rows if p and w is not None and any(w in (t or "") for q, _, t in docs if q == p)}
+    d = spark.createDataFrame(docs, DOC)
+    for there in (d, colocated.colocate(d.where("text is not null"))):
+        found = [tuple(r) for r in windows.mentions(forms, there).collect()]
+        assert sorted(found) == sorted(expected)
+    first = [n for n, a in counts if not a]
+    assert len(first) > 6 and max(first) < len(rows) / 2
+    assert sum(df.count() for df in left) < 2 * len(rows) / 2
+    assert windows.mentions(forms.limit(0), d).count() == 0
+
+
+def test_a_filter_is_shuffled_once_for_a_task(monkeypatch):
+    """Not a place for each of the bits that each pattern sets."""
+    patterns = pa.array([f"name-{i}" for i in range(200_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(["p"] * len(patterns)), patterns], names=["project", "pattern"])
+    exponent = 22
+    out = list(windows._pages(64 - exponent)([batch.slice(i, 10_000) for i in range(0, len(patterns), 10_000)]))
+    assert sum(b.nbytes for b in out) < 1.1 * (1 << exponent) / 8
+    filled = np.concatenate([np.frombuffer(windows._page(pa.Table.from_batches([b])).column("bits")[0].as_py(), np.uint8) for b in out])
+    text = b" ".join(p.encode() for p in patterns[::1000].to_pylist())
+    assert {p.as_py().encode() for p in patterns[::1000]} <= {*windows.windows(text, windows._seed("p"), sorted({len(p.as_py()) for p in patterns}), filled, 64 - exponent)}
