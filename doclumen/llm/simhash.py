@@ -9,7 +9,9 @@ fingerprints agree under at least one mask: no link is missed.
 ``deduplicated`` does not use these constants.  It links texts whose sets of
 ``DEDUP_SHINGLE`` words have a Jaccard similarity of ``DEDUP_SIMILARITY`` or more: covering
 masks for radius ``PART_RADIUS`` on each of the ``PARTS`` parts of a longer fingerprint find
-candidates, and only compared sets link.
+candidates, and only compared sets link.  Masks miss some of the pairs near the limit, of short texts above all.  An
+exact step finds these: in any order of all shingles, two similar sets share one of their first
+fifth (a prefix filter).  Only prefixes that meet across the groups already found are compared.
 """
 
 from __future__ import annotations
@@ -42,6 +44,11 @@ PART_RADIUS = 1
 CHECK_RADIUS = 34
 #: Pairs of a bucket that are held before they are made a forest.
 FOREST_PAIRS = 200_000
+#: Counters of shingles, whose order is by how frequent theirs is; only the work depends on it.  A page of them is summed at once.
+COUNTERS = 1 << 22
+COUNTER_PAGE = 1 << 16
+#: Bits of the parities of a set, which differ in no more places than the sets do.
+PARITY_BITS = 1024
 #: Sets of a block that are compared at once.
 SET_BLOCK = 256
 SET_ROWS = 200
@@ -283,7 +290,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_sets(sets: DataFrame, bodies: DataFrame) -> DataFrame:
-    """``a, b`` over ``sets(node, fp)``: enough links to connect all that are similar.
+    """``a, b`` over ``sets(node, fp)``: enough links to connect all similar sets that the masks find.
 
     ``bodies(_uid, body)`` has the text of each node.  What candidates connect is compared
     set by set, so that a set goes to a few groups and not to one for each key.
@@ -304,6 +311,129 @@ def similar_sets(sets: DataFrame, bodies: DataFrame) -> DataFrame:
     return land(pairs, release=True, batch_rows=SET_ROWS)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of each counter occur in a task's sets, by page."""
+    counts = np.zeros(COUNTERS, np.uint32)
+    for batch in batches:
+        for text in batch.column("body"):
+            np.add.at(counts, shingle_set(text.as_py() or b"") % np.uint64(COUNTERS), np.uint32(1))
+    for page, part in enumerate(counts.reshape(-1, min(COUNTER_PAGE, COUNTERS))):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["page", "counts"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c.as_py(), np.uint32).astype(np.int64) for c in table.column("counts"))
+    levels = np.round(4 * np.log2(total + 1)).astype(np.uint8)
+    return pa.table({"page": table.column("page")[:1], "levels": pa.array([levels.tobytes()], pa.binary())})
+
+
+def frequency_levels(bodies: DataFrame) -> np.ndarray:
+    """For each counter a level that grows with how many sets have its shingles."""
+    few = bodies.coalesce(bodies.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInArrow(_counted, "page int, counts binary").groupBy("page").applyInArrow(_summed, "page int, levels binary")
+    levels = np.zeros(COUNTERS, np.uint8)
+    size = min(COUNTER_PAGE, COUNTERS)
+    for row in found.toLocalIterator():  # 4 MB in all
+        levels[row["page"] * size : (row["page"] + 1) * size] = np.frombuffer(row["levels"], np.uint8)
+    return levels
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in the order of levels: sets with ``DEDUP_SIMILARITY`` or more share one of theirs."""
+    if not len(hashes):
+        return hashes
+    least = int(np.ceil(DEDUP_SIMILARITY * len(hashes) - 1e-6))
+    return hashes[np.lexsort((hashes, levels[hashes % np.uint64(COUNTERS)]))[: len(hashes) - least + 1]]
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of ``PARITY_BITS`` places whether an odd number of hashes fall on it."""
+    places = hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    return np.packbits(np.bincount((places % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
+def _prefixed(levels):
+    """A row for each hash of each set's prefix; the first of a set has its parities."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(body.as_py() or b"") for body in batch.column("body")]
+            found = [prefix(x, levels.value) for x in sets]
+            each = np.repeat(np.arange(len(sets)), [len(x) for x in found])
+            if not len(each):
+                continue
+            first = np.diff(each, prepend=-1) > 0
+            bits = [parities(sets[i]) if new else None for i, new in zip(each.tolist(), first.tolist())]
+            size = np.array([len(x) for x in sets], np.int32)
+            node, component = (batch.column(c).to_numpy() for c in ("node", "component"))
+            arrays = [np.concatenate(found).view(np.int64), node[each], component[each], size[each]]
+            names = ["k", "node", "component", "size", "bits"]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(bits, pa.binary())], names=names)
+
+    return scan
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs in each group that are of different components and whose sizes and parities allow the similarity."""
+    names = ["a", "b", "ca", "cb"]
+    for table, starts in whole_groups(batches, ["k", "_i", "_j"]):
+        node, component, size, block = (table.column(c).to_numpy() for c in ("node", "component", "size", "_b"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+        cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
+        n = len(node)
+        ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+        at, step = np.arange(n), 1
+        a, b, held = [], [], 0
+        while len(at := at[at + step < ends[at]]):
+            here = at[(component[at] != component[at + step]) & (~cross[at] | (block[at] != block[at + step]))]
+            small, large = np.minimum(size[here], size[here + step]), np.maximum(size[here], size[here + step])
+            here, both = here[ok := small >= DEDUP_SIMILARITY * large - 1e-6], (small + large)[ok]
+            apart = np.bitwise_count(bits[here] ^ bits[here + step]).sum(axis=1, dtype=np.int64)
+            here = here[apart <= both * (1 - DEDUP_SIMILARITY) / (1 + DEDUP_SIMILARITY) + 1e-6]
+            a.append(here)
+            b.append(here + step)
+            held += len(here)
+            step += 1
+            if held > FOREST_PAIRS:
+                x, y = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], component[x], component[y])], names=names)
+                a, b, held = [], [], 0
+        if held:
+            x, y = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], component[x], component[y])], names=names)
+
+
+def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [
+            _similar(shingle_set(x.as_py() or b""), shingle_set(y.as_py() or b""))
+            for x, y in zip(batch.column("body_a"), batch.column("body_b"))
+        ]
+        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def missed(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``a, b``: links between the components of ``nodes(node, component)`` that connect all similar sets in different ones.
+
+    Most prefixes have shingles of one component only, and are dropped before any set is met.
+    """
+    levels = nodes.sparkSession.sparkContext.broadcast(frequency_levels(bodies.select("body")))
+    texts = nodes.join(bodies, F.col("node") == F.col("_uid")).select("node", "component", "body")
+    rows = land(texts.mapInArrow(_prefixed(levels), "k long, node long, component long, size int, bits binary"), release=True)
+    shared = rows.groupBy("k").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high")
+    met = land(rows.select("k", "node", "component", "size").join(shared.select("k"), "k", "left_semi"), release=True)
+    marks = rows.where("bits is not null").select("node", "bits")
+    marks = land(marks.join(met.select("node").distinct(), "node", "left_semi"), release=True)
+    pairs = blocked(met.join(marks, "node"), ["k"], "node", BLOCK).mapInArrow(_across, "a long, b long, ca long, cb long")
+    ordered = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("ca", "cb", "ca"), ("cb", "ca", "cb"))]
+    pairs = land(pairs.select(*ordered).distinct(), release=True)
+    one = bodies.select(F.col("_uid").alias("a"), F.col("body").alias("body_a"))
+    two = bodies.select(F.col("_uid").alias("b"), F.col("body").alias("body_b"))
+    compared = pairs.join(one, "a").join(two, "b").select("ca", "cb", "body_a", "body_b").toDF("a", "b", "body_a", "body_b")
+    return land(compared.mapInArrow(_similar_pairs, "a long, b long").distinct(), release=True, batch_rows=SET_ROWS)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with its smallest ``doc_id``.
 
@@ -320,7 +450,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("_id").isNull().alias("_missing"), "_id", "_uid")).alias("_best")
     sets = land(sketches.groupBy("_key").agg(best, F.min("fp").alias("fp")).select(F.col("_best._uid").alias("node"), "_best", "fp"))
     found = components(similar_sets(sets, base.select("_uid", body)))
-    roots = sets.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "_best")
+    roots = land(sets.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "_best"), release=True)
+    more = missed(roots.select("node", "component"), base.select("_uid", body))
+    if not more.isEmpty():
+        wider = components(more).select(F.col("node").alias("component"), F.col("component").alias("_wider"))
+        roots = roots.join(wider, "component", "left").select(F.coalesce("_wider", "component").alias("component"), "_best")
     stay = land(roots.groupBy("component").agg(F.min("_best").alias("_best")).select(F.col("_best._uid").alias("_of")))
     out = base.join(stay, F.col("_uid") == F.col("_of"), "left_semi")
     return out.select(*(F.col(f"_col_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -616,3 +616,39 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     learned = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
     assert seen == [(learned, learned)] and learned > 300
     assert out == {i: y for i, _, y in rows}
+
+
+def test_no_similar_pair_is_left_out(spark, monkeypatch):
+    """Pairs at the limit, of short texts above all, that the masks of the fingerprints miss; a shingle in many texts meets in blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "FOREST_PAIRS", 3)
+    rng = np.random.default_rng(11)
+    texts = []
+    for at in range(150):
+        n = [5, 5, 10, 15, 40][at % 5]
+        words = [f"w{at}x{i}" for i in range(n + 4)]
+        common = " all texts have these five words" if at % 10 == 9 else ""
+        texts += [" ".join(words) + common, " ".join(words[: len(words) - n // 5]) + common, " ".join(words[n // 2 :])]
+    texts += ["", None, "so few", "all texts have these five words"] * 2
+    order = rng.permutation(len(texts)).tolist()
+    texts = [texts[i] for i in order]
+    of = brute_similar(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = simhash.deduplicated(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(of.index(x) for x in set(of))
+
+
+def test_prefixes_of_similar_sets_share_a_hash_and_parities_tell_them_no_further_apart():
+    rng = np.random.default_rng(12)
+    levels = rng.integers(0, 5, simhash.COUNTERS).astype(np.uint8)
+    for n in [1, 2, 4, 5, 9, 10, 25, 100, 2500] * 5:
+        lost = n // 9
+        every = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        one, two = every[lost:], every[: n - lost]
+        if not simhash._similar(one, two):
+            one = every
+        assert simhash._similar(one, two)
+        assert len(np.intersect1d(simhash.prefix(one, levels), simhash.prefix(two, levels)))
+        assert len(simhash.prefix(every, levels)) <= n // 5 + 1
+        a, b = (np.frombuffer(simhash.parities(x), np.uint64) for x in (one, two))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(one, two)) <= (len(one) + len(two)) / 9 + 1e-6
