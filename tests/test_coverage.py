@@ -517,3 +517,22 @@ def test_a_filter_is_shuffled_once_for_a_task(monkeypatch):
     filled = np.concatenate([np.frombuffer(windows._page(pa.Table.from_batches([b])).column("bits")[0].as_py(), np.uint8) for b in out])
     text = b" ".join(p.encode() for p in patterns[::1000].to_pylist())
     assert {p.as_py().encode() for p in patterns[::1000]} <= {*windows.windows(text, windows._seed("p"), sorted({len(p.as_py()) for p in patterns}), filled, 64 - exponent)}
+
+
+@pytest.mark.parametrize("joined", [0, 1_000_000])
+def test_parts_are_sent_only_the_patterns_that_occur_there(spark, small_limits, monkeypatch, joined):
+    """Not all of the project's patterns to each of its parts, which grows with both."""
+    monkeypatch.setattr(windows, "JOINED_PATTERNS", joined)
+    search, sent = colocated.search, []
+    monkeypatch.setattr(colocated, "search", lambda patterns, *a: sent.append(patterns) or search(patterns, *a))
+    docs = [("p", f"d{i}", f"word{i} " * 20) for i in range(40)] + [("q", "d", "word1"), (None, "x", "word2")]
+    patterns = [("p", f"word{i}") for i in range(60)] + [("q", "word2"), ("q", "word1"), (None, "word2")]
+    found = occurrences.found_documents(spark.createDataFrame(patterns, "project string, pattern string"), spark.createDataFrame(docs, DOC))
+    got = {}
+    for r in found.collect():  # a row for each chunk of patterns
+        got.setdefault((r.project, r.path), set()).update(r.patterns)
+    want = {(q, d): {w for p, w in patterns if p == q and w in t} for q, d, t in docs if q}
+    assert got == {k: v for k, v in want.items() if v}
+    landed = colocated.colocate(spark.createDataFrame(docs, DOC))
+    assert landed.parts.first().parts > 10
+    assert "part" in sent[0].columns and sent[0].count() < 3 * 40  # each pattern goes to the parts of its documents, not to all
